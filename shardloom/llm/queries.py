@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import hashtree, line_dedup, quality, token_counts, token_files
+from shardloom.llm import hashtree, line_dedup, quality, substring, token_counts, token_files
 from shardloom.llm.common import shared_dir, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -27,6 +27,11 @@ def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
 
 
+def op5_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -81,6 +86,14 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard,
   'g' || (shard // 8) AS region, 'k' || (shard // 4) AS rack
 FROM placed""",
+    "op5_cover_anchors": """
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35),
+seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n FROM p),
+gone AS (SELECT doc_id, list(DISTINCT q) AS g FROM (SELECT doc_id, unnest(range(i, i + 35)) AS q FROM seen WHERE n > 1) GROUP BY doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, j: NOT list_contains(g, j)), ' ') END) AS kept_sha256
+FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id""",
     "op8_line_windows": """
 WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
 w AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, l FROM lines WHERE len(l) >= 3),

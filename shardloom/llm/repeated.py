@@ -1,0 +1,77 @@
+"""Which keys of a corpus occur more than once, answered to where they occur.
+
+Documents are dealt into parts of bounded size. A part sends each of its distinct keys once, whatever
+the number of its occurrences, to the bucket that the key's leading bits name, packed as one row a
+bucket. The bucket sees for every key which parts have it, and answers each part with one bit a key.
+So a key that a third of all documents share costs one entry a part and never gathers documents.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+SENT = "part int, bucket int, keys binary, second binary, more binary"
+ANSWER = "part int, kind int, bucket int, hits binary"
+_SENT = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("keys", pa.binary()), ("second", pa.binary()), ("more", pa.binary())])
+_ANSWER = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("bucket", pa.int32()), ("hits", pa.binary())])
+
+
+class Distinct:
+    """The sorted distinct keys of a part: 64 bits, or 128 with ``second``."""
+
+    def __init__(self, keys: np.ndarray, second: np.ndarray | None = None):
+        order = np.argsort(keys, kind="stable")
+        k, s = keys[order], None if second is None else second[order]
+        if s is not None and np.any((k[1:] == k[:-1]) & (s[1:] != s[:-1])):
+            order = np.lexsort((second, keys))
+            k, s = keys[order], second[order]
+        new = np.ones(len(k), bool)
+        new[1:] = k[1:] != k[:-1]
+        if s is not None:
+            new[1:] |= s[1:] != s[:-1]
+        at = np.flatnonzero(new)
+        self.keys, self.second = k[at], None if s is None else s[at]
+        self.more = np.diff(np.append(at, len(k))) > 1
+        self.back = np.empty(len(k), np.int64)
+        self.back[order] = np.cumsum(new) - 1
+
+    def _edges(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        return bucket, np.searchsorted(bucket, np.arange(buckets + 1))
+
+    def sent(self, part: int, buckets: int) -> pa.Table:
+        """One row for each bucket that gets keys."""
+        _, edges = self._edges(buckets)
+        rows = [(part, b, self.keys[x:y].tobytes(), None if self.second is None else self.second[x:y].tobytes(), np.packbits(self.more[x:y]).tobytes()) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+        return pa.Table.from_arrays([pa.array([r[i] for r in rows], _SENT.field(i).type) for i in range(5)], schema=_SENT)
+
+    def flags(self, answer: pa.Table, kind: int, buckets: int) -> np.ndarray:
+        """For each key as it was given (before sorting): does it occur more than once in the corpus."""
+        _, edges = self._edges(buckets)
+        hit = np.zeros(len(self.keys), bool)
+        for k, b, bits in zip(*(answer[c].to_pylist() for c in ("kind", "bucket", "hits")), strict=True):
+            if k == kind:
+                x, y = edges[b], edges[b + 1]
+                hit[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
+        return hit[self.back]
+
+
+def answers(sent: DataFrame, kind: int) -> DataFrame:
+    """One row a part and bucket, with a bit for each key that the part sent there."""
+
+    def answer(key: tuple, rows: pa.Table) -> pa.Table:
+        lists = [np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()]
+        sizes = [len(x) for x in lists]
+        twice = [np.frombuffer(x, np.uint64) for x in rows["second"].to_pylist() if x is not None]
+        found = Distinct(np.concatenate(lists), np.concatenate(twice) if twice else None)
+        repeated = found.more.copy()
+        more = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(rows["more"].to_pylist(), sizes, strict=True)]).astype(bool)
+        repeated[found.back[more]] = True
+        hit, at = repeated[found.back], np.concatenate(([0], np.cumsum(sizes)))
+        hits = [np.packbits(hit[x:y]).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+        n = len(sizes)
+        return pa.Table.from_arrays([rows["part"].combine_chunks(), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, key[0].as_py(), np.int32)), pa.array(hits, pa.binary())], schema=_ANSWER)
+
+    return sent.groupBy("bucket").applyInArrow(answer, ANSWER)
