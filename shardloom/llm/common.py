@@ -40,3 +40,11 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     """A hash of the id and the whole text. Rows equal in both count as one document."""
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the rows do not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

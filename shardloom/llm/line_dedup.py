@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import row_key
+from shardloom.llm.common import fresh, row_key
 
 LINES = 3
 
@@ -46,13 +46,14 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lines: int = LINES) -> DataFrame:
     """All rows with the text that is left, and ``_n_lines`` and ``_n_removed``."""
     found = repeated_windows(docs, doc_id, text, lines)
-    own = docs.withColumn("_key", row_key(doc_id, text))
-    both = own.join(found, (own["_key"] == found["_k"]) & own[doc_id].eqNullSafe(found["_id"]), "left")
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + lines - 1))))
-    kept = F.array_join(F.filter(_lines(text), lambda x, j: ~F.array_contains(F.col("_gone"), j)), "\n")
-    marked = both.withColumn("_gone", gone)
+    key, mark = fresh(docs, "_key"), fresh(docs, "_gone")
+    own = docs.withColumn(key, row_key(doc_id, text))
+    both = own.join(found, (own[key] == found["_k"]) & own[doc_id].eqNullSafe(found["_id"]), "left")
+    gone = F.array_distinct(F.flatten(F.transform(found["_starts"], lambda s: F.sequence(s, s + lines - 1))))
+    kept = F.array_join(F.filter(_lines(text), lambda x, j: ~F.array_contains(F.col(mark), j)), "\n")
+    marked = both.withColumn(mark, gone)
     return marked.select(
-        *[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else docs[c] for c in docs.columns],
+        *[F.when(F.col(mark).isNull(), F.col(text)).otherwise(kept).alias(text) if c == text else docs[c] for c in docs.columns],
         F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).cast("long").alias("_n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"),
+        F.coalesce(F.size(mark), F.lit(0)).cast("long").alias("_n_removed"),
     )

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import hashtree, line_dedup, quality, substring, token_counts, token_files
+from shardloom.llm import hashtree, line_dedup, minhash, quality, substring, token_counts, token_files
 from shardloom.llm.common import shared_dir, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -22,6 +22,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hashtree.assign(table(spark, sf_dir, "documents"), hashtree.uniform_tree(hashtree.SHARDS), hashtree.uniform_tree(hashtree.SHARDS + 1))
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
