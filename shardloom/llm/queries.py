@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import hashtree, line_dedup, minhash, quality, substring, token_counts, token_files
+from shardloom.llm import hashtree, line_dedup, minhash, quality, segmentation, substring, templates, token_counts, token_files
 from shardloom.llm.common import shared_dir, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -31,6 +31,16 @@ def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "region", "rack")
 
 
+def op3_gumbel_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segmentation.sample(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    return rows.select("doc_id", "rank", "n_ids", "ids_crc32", F.round("log_p", 6).alias("log_p"), F.round("log_inclusion", 6).alias("log_inclusion"), "decoded")
+
+
+def op4_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_covered", "n_tokens", "n_slots", "n_changed")
+
+
 def op5_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring.dedup(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -78,13 +78,13 @@ class Slice:
 
     ``row``: first row in the batch; ``text_at``: byte offsets of the texts (one more than rows);
     ``starts``/``ends``: byte offsets of the words; ``word_at``: for each text the index of its
-    first word (one more than rows).
+    first word (one more than rows). ``space``: which bytes are outside words, if not white space.
     """
 
-    def __init__(self, row: int, data: np.ndarray, text_at: np.ndarray):
+    def __init__(self, row: int, data: np.ndarray, text_at: np.ndarray, space: np.ndarray | None = None):
         self.row, self.data, self.text_at = row, data, text_at
         self.n = len(text_at) - 1
-        self.space = _SPACE[data]
+        self.space = _SPACE[data] if space is None else space
         edge = np.empty(len(data) + 1, bool)  # words never run over the end of a text
         if len(data):
             inside = ~self.space
