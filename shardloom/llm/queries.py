@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm import hashtree, line_dedup, minhash, quality, segmentation, substring, templates, token_counts, token_files
+from shardloom.llm import hashtree, licences, line_dedup, minhash, quality, segmentation, substring, templates, token_counts, token_files
 from shardloom.llm.common import shared_dir, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -75,6 +75,12 @@ def op9_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("score", 9).alias("score"))
 
 
+def op10_licence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, its language and its id."""
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
