@@ -57,3 +57,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lin
         F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).cast("long").alias("_n_lines"),
         F.coalesce(F.size(mark), F.lit(0)).cast("long").alias("_n_removed"),
     )
+
+
+def shortened(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", lines: int = LINES) -> DataFrame:
+    """All rows with all columns of ``docs``; a text that lost lines has a new number of characters."""
+    found = dedup_lines(docs, doc_id, text, lines)
+    changed = F.col("_n_removed") > 0
+    return found.select(*[F.when(changed, F.char_length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == n_chars else F.col(c) for c in docs.columns])

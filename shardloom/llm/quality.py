@@ -19,6 +19,7 @@ rows of one doc_id are judged each by itself; a null doc_id is never trusted.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +139,16 @@ def log_ratios(counts: DataFrame) -> np.ndarray:
     return np.log((target + SMOOTH) / (target.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS))
 
 
+def _scores(s: T.Slice, ratios: np.ndarray) -> np.ndarray:
+    bucket, doc = _ngrams(s)
+    return np.bincount(doc, weights=ratios[bucket], minlength=s.n) / np.maximum(np.bincount(doc, minlength=s.n), 1)
+
+
+def _failed(n_words: Any, n_repeat_words: Any) -> Any:
+    """Of columns or of arrays."""
+    return (n_words < MIN_WORDS) | (100 * n_repeat_words > MOST_REPEATED * n_words)
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: the base columns, score, base_failed, kept."""
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(count_ngrams(docs, trusted_ids(labels))))
@@ -145,12 +156,24 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in T.slices(b["text"]):
-                bucket, doc = _ngrams(s)
-                n = np.bincount(doc, minlength=s.n)
-                total = np.bincount(doc, weights=ratios.value[bucket], minlength=s.n)
                 columns = base_columns(s)
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(s.row, s.n), *(pa.array(v.astype(np.int64)) for v in columns.values()), pa.array(total / np.maximum(n, 1))], names=["doc_id", *columns, "score"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(s.row, s.n), *(pa.array(v.astype(np.int64)) for v in columns.values()), pa.array(_scores(s, ratios.value))], names=["doc_id", *columns, "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(apply, BASE_SCHEMA)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    failed = _failed(F.col("n_words"), F.col("n_repeat_words"))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+
+
+def filtered(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that ``score`` keeps, with all their columns."""
+    ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(count_ngrams(docs, trusted_ids(labels))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = np.zeros(b.num_rows, bool)
+            for s in T.slices(b["text"]):
+                columns = base_columns(s)
+                kept[s.row : s.row + s.n] = ~_failed(columns["n_words"], columns["n_repeat_words"]) & (_scores(s, ratios.value) >= threshold)
+            yield b.filter(pa.array(kept))
+
+    return docs.mapInArrow(keep, docs.schema)
