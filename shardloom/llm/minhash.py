@@ -16,8 +16,8 @@ texts share a coordinate with the probability of their weighted Jaccard similari
 
 So a bucket of n copies costs n comparisons, while no link between texts that share a bucket is lost.
 
-Defined cases: a text of one to four words is one shingle; null texts and texts without words are each
-a class of their own; equal rows are in one class; the class id is the least doc_id of its rows (null if
+Defined cases: a text of one to four words is one shingle; null texts and texts without words are
+equal to each other and to no other text; equal rows are in one class; the class id is the least doc_id of its rows (null if
 all are null); ties need no rule, as every comparison is exact; an empty table gives no rows; other
 columns of the input are not read.
 """
@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textops as T
@@ -45,9 +45,13 @@ _DART = 0xA0761D6478BD642F
 _UNIT = 0xE7037ED1A0B428DB
 
 
-def text_key(text: str = "text"):
-    """128 bits of the text; null for texts without a word."""
-    return F.when(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.unhex(F.md5(text)))
+def has_words(text: str = "text") -> Column:
+    return F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def text_key(text: str = "text") -> Column:
+    """128 bits of the text; all texts without a word have the same."""
+    return F.unhex(F.md5(F.when(has_words(text), F.col(text)).otherwise("")))
 
 
 def shingles(s: T.Slice, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +152,7 @@ def banded(docs: DataFrame, text: str = "text", bands: int = BANDS, rows: int =
                 lists = pa.ListArray.from_arrays(np.arange(0, s.n * bands + 1, bands, dtype=np.int32), pa.array(h.ravel()))
                 yield pa.RecordBatch.from_arrays([b["key"].slice(s.row, s.n), lists], names=["key", "bands"])
 
-    own = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).where("key is not null")
+    own = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).where(has_words("t"))
     return own.mapInArrow(sign, "key binary, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands"))
 
 
@@ -177,7 +181,7 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY,
     members = stored(places.join(buckets, "bucket").select("bucket", "centre", "key"), "members")
     pairs = stored(members.where("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    own = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).where("key is not null")
+    own = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).where(has_words("t"))
     texts = stored(own.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")), "texts")
     checked = stored(compared(pairs, texts, words), "compared")
     links = checked.where(F.col("similarity") >= similarity).select("a", "b")
@@ -202,21 +206,21 @@ def _open_pairs(members: DataFrame, checked: DataFrame, found: DataFrame, reach:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """doc_id, key (null without words), class_id and class_key for every row."""
+    """doc_id, key, class_id and class_key for every row."""
     found = classes(docs, text, **parameters)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("key"))
-    texts = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
+    texts = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
     labelled = stored(texts.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("label", "key").alias("class_key"), "least"), "labelled")
     least = stored(labelled.groupBy("class_key").agg(F.min("least").alias("class_id")), "least")
     named = stored(labelled.join(least, "class_key").select("key", "class_key", "class_id"), "named")
-    return rows.join(named, "key", "left").select("doc_id", "key", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key")
+    return rows.join(named, "key", "left").select("doc_id", "key", "class_id", "class_key")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The rows of ``docs`` without all but the first of every class: least doc_id, then least text; of equal rows one stays."""
-    named = near_duplicates(docs, doc_id, text, **parameters).where("class_key is not null")
+    named = near_duplicates(docs, doc_id, text, **parameters)
     first = stored(named.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("_first_id"), F.col("f.key").alias("_first_key")), "firsts")
     key = fresh(docs, "_key")
     own = docs.withColumn(key, text_key(text))
     kept = own.join(first, own[doc_id].eqNullSafe(first["_first_id"]) & (own[key] == first["_first_key"]), "left_semi")
-    return kept.dropDuplicates([doc_id, key]).unionByName(own.where(F.col(key).isNull())).drop(key)
+    return kept.dropDuplicates([doc_id, key]).drop(key)
