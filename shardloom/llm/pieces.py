@@ -10,7 +10,6 @@ from __future__ import annotations
 import numpy as np
 
 from shardloom.llm import textops as T
-from shardloom.llm.units import spread
 
 SPACE = 0x2581
 OFF = -1e8
@@ -41,8 +40,7 @@ class Pieces:
         known = np.array(sorted(self.words.values()))
         self.log_p = weight - np.log(np.exp(weight[known]).sum())
         self.byte_log_p = float(self.log_p[known].min())
-        self.raw_at = np.concatenate(([0], np.cumsum([len(x) for x in raw])))
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw, self.raw_size = raw, np.array([len(x) for x in raw])
         self._neighbours()
         self._tree()
 
@@ -107,13 +105,10 @@ class Pieces:
         starts = np.flatnonzero(cut)
         return chars, starts, np.searchsorted(starts, heads)
 
-    def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The bytes of texts from their ids, and where each text's begin; the leading space is left out."""
-        raw = spread(self.raw, self.raw_at, ids)
-        ends = np.concatenate(([0], np.cumsum(self.raw_at[ids + 1] - self.raw_at[ids])))[at]
-        keep = np.ones(len(raw), bool)
-        keep[ends[:-1][np.diff(ends) > 0]] = False
-        return raw[keep], np.concatenate(([0], np.cumsum(keep)))[ends]
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of texts from their ids, each with a leading space unless it is empty, and where each begins."""
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        return raw, np.concatenate(([0], np.cumsum(self.raw_size[ids])))[at]
 
 
 def hashes(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:

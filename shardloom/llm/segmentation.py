@@ -5,8 +5,8 @@ Gumbel-perturbed log probabilities are a sample without replacement. They are fo
 search. A region is a set of segmentations: those that share a path up to a lattice node and leave it by
 none of some edges. Its bound is the greatest perturbed value inside it, drawn for the region as a whole,
 as the logarithms of its mass are known exactly from the sums over all ways to the end. The search takes
-the region of the greatest bound, draws its best segmentation, and splits what is left into the regions
-that turn off at each later node. Bounds are exact, so the k-th region that is taken gives the k-th best
+the region of the greatest bound, draws its best segmentation, and splits what is left into regions that
+turn off within ranges of later nodes. Bounds are exact, so the k-th region that is taken gives the k-th best
 segmentation, and the work is k walks over the lattice whatever the number of segmentations.
 
 The greatest bound that is left at the end is the threshold; a segmentation's inclusion score is the log
@@ -23,6 +23,7 @@ columns of the input are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ from shardloom.llm.pieces import Lattices, Pieces, hashes
 from shardloom.llm.units import spread
 
 SAMPLES = 2
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 _STEP, _UNIT, _WALK = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3B195354A39B70D, 0x8BB84B93962EACC9))
 
 
@@ -56,33 +57,41 @@ def pieces(path: str, steep: float) -> Pieces:
 
 
 class Paths:
-    """Edges of each text's path, one text after the other, with what the search needs of them."""
+    """Edges of each text's path, one text after the other; ``sums``: log probabilities up to each step, over all texts."""
 
     def __init__(self, lattices: Lattices, edges: np.ndarray, at: np.ndarray, unit: np.ndarray):
         self.edges, self.at, self.unit = edges, at, unit
-        before = np.concatenate(([0.0], np.cumsum(lattices.log_p[edges])))
-        text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        self.before = before[:-1] - before[at[:-1]][text]
-        self.log_p = before[at[1:]] - before[at[:-1]]
-        self.text = text
+        self.sums = np.concatenate(([0.0], np.cumsum(lattices.log_p[edges])))
+        self.log_p = self.sums[at[1:]] - self.sums[at[:-1]]
+
+
+def _below(top: float, log_mass: float, u: float) -> float:
+    """The greatest of a Gumbel process of this mass, given that it is below ``top``."""
+    return -np.inf if log_mass == -np.inf else -float(np.logaddexp(-top, math.log(-math.log(u)) - log_mass))
 
 
 class Search:
-    """The k best perturbed segmentations of every text of a slice."""
+    """The k best perturbed segmentations of every text of a slice.
+
+    A region is (bound, walk, row of the walk, low, high, shut): the segmentations that leave the walk's path at a step from low
+    to high (excluded). Of a region of one step, shut has the edges that they don't take; otherwise that is the path's own.
+    """
 
     def __init__(self, p: Pieces, s: T.Slice, keys: np.ndarray, k: int):
         chars, starts, self.text_unit = p.units(s)
         distinct, where, back = np.unique(hashes(chars, starts), return_index=True, return_inverse=True)
-        self.lattices = Lattices(p, chars, starts[where], starts[where + 1]) if len(where) else None
         self.n, self.keys, self.back = s.n, keys, back
-        text = np.repeat(np.arange(s.n), np.diff(self.text_unit))
-        self.unit_key = T.mix(keys[text] + np.arange(len(back), dtype=np.uint64) * _UNIT - (self.text_unit[:-1][text]).astype(np.uint64) * _UNIT)
-        self.found: list[tuple[np.ndarray, Paths, np.ndarray]] = []  # texts, their paths, perturbed values
         self.left = np.full(s.n, -np.inf)
-        if self.lattices is not None:
-            self._run(k)
-        else:
-            self.found.append((np.arange(s.n), None, np.zeros(s.n)))
+        self.found: list[tuple[np.ndarray, Paths | None]] = []
+        self.regions: list[list[tuple]] = [[] for _ in range(s.n)]
+        if not len(where):
+            self.found.append((np.arange(s.n), None))
+            return
+        self.lattices = Lattices(p, chars, starts[where], starts[where + 1])
+        size = np.diff(self.text_unit)
+        number = np.arange(len(back)) - np.repeat(self.text_unit[:-1], size)
+        self.unit_key = T.mix(np.repeat(keys, size) + number.astype(np.uint64) * _UNIT)
+        self._run(k)
 
     def _walk(self, unit: np.ndarray, node: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a random way from each node to its unit's end, and where each unit's begin (one more than units)."""
@@ -92,16 +101,19 @@ class Search:
         node, steps, step = node[on], [], 0
         count = np.zeros(n, np.int64)
         while len(on):
-            u = T.unit_interval(T.mix(key[on] + _times(step, _STEP)))
             edge = lat.first[node]
-            over = np.flatnonzero(u > lat.cdf[edge])
-            while len(over):
-                edge[over] += 1
-                over = over[u[over] > lat.cdf[edge[over]]]
+            some = np.flatnonzero(lat.cdf[edge] < np.inf)  # the others have one edge
+            u = T.unit_interval(T.mix(key[on[some]] + _times(step, _STEP)))
+            over = np.flatnonzero(u > lat.cdf[edge[some]])
+            some, u = some[over], u[over]
+            while len(some):
+                edge[some] += 1
+                over = np.flatnonzero(u > lat.cdf[edge[some]])
+                some, u = some[over], u[over]
             steps.append((on, edge))
             count[on] += 1
             node = lat.to[edge]
-            go = ~lat.end[node]
+            go = np.flatnonzero(~lat.end[node])
             on, node, step = on[go], node[go], step + 1
         at = np.concatenate(([0], np.cumsum(count)))
         out = np.empty(int(at[-1]), np.int64)
@@ -110,105 +122,112 @@ class Search:
         return out, at
 
     def _run(self, k: int) -> None:
-        lat = self.lattices
-        texts = np.arange(self.n)
-        all_units = np.arange(len(self.back))
-        edges, at = self._walk(all_units, lat.root[self.back], 0)
-        paths = Paths(lat, edges, at[self.text_unit], np.repeat(all_units, np.diff(at)))
+        units = np.arange(len(self.back))
+        edges, at = self._walk(units, self.lattices.root[self.back], 0)
+        texts, paths = np.arange(self.n), Paths(self.lattices, edges, at[self.text_unit], np.repeat(units, np.diff(at)))
         value = -np.log(-np.log(T.unit_interval(T.seeded(self.keys, 11))))  # the best of all: a Gumbel of mass 1
-        self.found.append((texts, paths, value))
-        turn, shut = np.zeros(self.n, np.int64), [frozenset()] * self.n
-        regions: list[list] = [[] for _ in range(self.n)]  # of each text: (bound, walk, row in the walk, step, shut edges)
+        turn = np.full(self.n, -1)
         for walk in range(k):
-            self._split(regions, walk, texts, paths, value, turn, shut, k - walk)
-            if walk + 1 == k:
-                break
-            taken = [(t, r.pop(max(range(len(r)), key=lambda i: r[i][0]))) for t, r in enumerate(regions) if r]
+            self.found.append((texts, paths))
+            self._ranges(walk, texts, paths, value, turn + 1)
+            taken = [(t, r.pop(max(range(len(r)), key=lambda i: r[i][0]))) for t, r in enumerate(self.regions) if r] if walk + 1 < k else []
             if not taken:
                 break
-            texts, paths, turn, shut = self._draw(taken, walk + 1)
             value = np.array([r[0] for _, r in taken])
-            self.found.append((texts, paths, value))
-        for t, r in enumerate(regions):
+            texts, paths, turn = self._draw(taken, walk + 1)
+        for t, r in enumerate(self.regions):
             if r:
                 self.left[t] = max(x[0] for x in r)
 
-    def _split(self, regions: list[list], walk: int, texts: np.ndarray, paths: Paths, value: np.ndarray, turn: np.ndarray, shut: list[frozenset], most: int) -> None:
-        """Adds the regions that turn off the paths at or after each one's turn: of each path the ``most`` greatest, more are never taken."""
-        lat, n = self.lattices, len(paths.edges)
-        rest = lat.log_rest[paths.edges]
-        for i, x in enumerate(shut):
-            if x:
-                e = paths.at[i] + turn[i]
-                mass = -np.expm1(np.logaddexp.reduce([lat.log_p[paths.edges[e]], *(lat.log_p[y] for y in x)]))
-                rest[e] = np.log(mass) if mass > 1e-15 and len(x) + 1 < self._degree(paths.edges[e]) else -np.inf
-        step = np.arange(n) - paths.at[:-1][paths.text]
-        u = T.unit_interval(T.mix(T.mix(self.keys[texts] + _times(walk + 1, _WALK))[paths.text] + step.astype(np.uint64) * _STEP))
-        mass = paths.before + rest
-        with np.errstate(divide="ignore"):
-            bound = -np.logaddexp(-value[paths.text], np.log(-np.log(u)) - mass)
-        bound[(step < turn[paths.text]) | np.isneginf(mass)] = -np.inf
-        some = np.flatnonzero(np.diff(paths.at) > 0)
-        for _ in range(most):
-            if not len(some):
-                break
-            # runs of the texts that still have regions; a text without steps has no run
-            full = np.flatnonzero(np.diff(paths.at) > 0)
-            best = np.maximum.reduceat(bound, paths.at[full])
-            hit = np.flatnonzero(bound == np.repeat(best, np.diff(paths.at)[full]))
-            hit = hit[~np.isneginf(bound[hit])]
-            _, one = np.unique(paths.text[hit], return_index=True)
-            some = hit[one]
-            for i, e, st, b in zip(paths.text[some].tolist(), paths.edges[some].tolist(), step[some].tolist(), bound[some].tolist(), strict=True):
-                regions[texts[i]].append((b, walk, i, st, shut[i] | {e} if st == turn[i] else frozenset((e,))))
-            bound[some] = -np.inf
-
-    def _degree(self, edge: int) -> int:
-        node = int(np.searchsorted(self.lattices.first, edge, side="right")) - 1
-        return int(self.lattices.first[node + 1] - self.lattices.first[node])
-
-    def _draw(self, taken: list, walk: int) -> tuple[np.ndarray, Paths, np.ndarray, list[frozenset]]:
-        """The best segmentation of each region: the path to its node, an edge that is not shut, and a random rest."""
+    def _ranges(self, walk: int, texts: np.ndarray, paths: Paths, value: np.ndarray, start: np.ndarray) -> None:
+        """Adds the regions that leave the paths at or after their start, in ranges of 1, 1, 2, 4, ... steps.
+
+        The mass of a range is the difference of the probabilities of the paths up to its ends, so it needs no look at its steps.
+        """
+        first, size = paths.at[:-1], np.diff(paths.at)
+        key = T.mix(self.keys[texts] + _times(walk + 1, _WALK))
+        low, width, j = start, 1, 0
+        on = np.flatnonzero(low < size)
+        while len(on):
+            high = np.minimum(start[on] + width, size[on])
+            a, b = paths.sums[first[on] + low[on]], paths.sums[first[on] + high]
+            u = T.unit_interval(T.mix(key[on] + _times(j, _STEP)))
+            with np.errstate(divide="ignore"):
+                mass = a - paths.sums[first[on]] + np.log(-np.expm1(b - a))
+                bound = -np.logaddexp(-value[on], np.log(-np.log(u)) - mass)
+            for i, x, y, g, m in zip(on.tolist(), low[on].tolist(), high.tolist(), bound.tolist(), mass.tolist(), strict=True):
+                if m > -np.inf:
+                    self.regions[texts[i]].append((g, walk, i, x, y, None))
+            low, width, j = start + width, 2 * width, j + 1
+            on = np.flatnonzero(low < size)
+
+    def _draw(self, taken: list, walk: int) -> tuple[np.ndarray, Paths, np.ndarray]:
+        """The best segmentation of each region: a step, an edge that isn't shut, and a random rest. What the region has besides goes back, but
+        for what leaves the new path later."""
         lat = self.lattices
         texts = np.array([t for t, _ in taken])
-        turn, shut = np.array([r[3] for _, r in taken]), [r[4] for _, r in taken]
-        keys = T.unit_interval(T.mix(T.mix(self.keys[texts] + _times(walk, _WALK)) + np.uint64(1)))
-        heads, head_units, edge, unit = [], [], [], []
-        for (_, (_, w, i, st, x)), u in zip(taken, keys.tolist(), strict=True):
+        own = T.mix(self.keys[texts] + _times(walk, _WALK))
+        draws = np.stack([T.unit_interval(T.mix(own + np.uint64(101 + i))) for i in range(5)], 1).tolist()
+        heads, head_units, edges, units, turns = [], [], [], [], []
+        for (t, (top, w, i, low, high, shut)), u in zip(taken, draws, strict=True):
             base = self.found[w][1]
             a = int(base.at[i])
-            heads.append(base.edges[a : a + st])
-            head_units.append(base.unit[a : a + st + 1])
-            node = int(np.searchsorted(lat.first, next(iter(x)), side="right")) - 1
-            own = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in x]
-            p = np.cumsum(np.exp(lat.log_p[own] - lat.log_p[own].max()))
-            edge.append(own[min(int(np.searchsorted(p, u * p[-1])), len(own) - 1)])
-            unit.append(int(head_units[-1][-1]))
-        ends = self.text_unit[texts + 1]
-        runs = ends - np.array(unit)
+            sums = base.sums[a + low : a + high + 1] - base.sums[a]
+            turn = low
+            if high - low > 1:
+                level = sums[0] + math.log1p(u[0] * math.expm1(sums[-1] - sums[0]))
+                turn = low + max(0, min(int(np.searchsorted(-sums, -level, side="right")) - 1, high - low - 1))
+                while turn > low and sums[turn - low] == sums[turn - low + 1]:  # a step without another edge
+                    turn -= 1
+                while sums[turn - low] == sums[turn - low + 1]:
+                    turn += 1
+            taken_edge = int(base.edges[a + turn])
+            shut = shut or frozenset((taken_edge,))
+            node = int(np.searchsorted(lat.first, taken_edge, side="right")) - 1
+            free = [e for e in range(int(lat.first[node]), int(lat.first[node + 1])) if e not in shut]
+            p = np.exp(lat.log_p[free] - lat.log_p[free].max()).cumsum()
+            k = min(int(np.searchsorted(p, u[1] * p[-1])), len(free) - 1)
+            before = float(sums[turn - low])
+            back = self.regions[t]
+            if len(free) > 1:
+                rest = float(np.logaddexp.reduce(lat.log_p[free[:k] + free[k + 1 :]]))
+                back.append((_below(top, before + rest, u[2]), w, i, turn, turn + 1, shut | {free[k]}))
+            for x, y, v in ((low, turn, u[3]), (turn + 1, high, u[4])):
+                if x < y and sums[x - low] > sums[y - low]:
+                    mass = float(sums[x - low]) + math.log(-math.expm1(float(sums[y - low] - sums[x - low])))
+                    back.append((_below(top, mass, v), w, i, x, y, None))
+            heads.append(base.edges[a : a + turn])
+            head_units.append(base.unit[a : a + turn + 1])
+            edges.append(free[k])
+            units.append(int(base.unit[a + turn]))
+            turns.append(turn)
+        unit, turn = np.array(units), np.array(turns)
+        runs = self.text_unit[texts + 1] - unit
         first = np.concatenate(([0], np.cumsum(runs)))
-        units = np.arange(int(first[-1])) + np.repeat(np.array(unit) - first[:-1], runs)
-        node = lat.root[self.back[units]]
-        node[first[:-1]] = lat.to[edge]
-        rest, at = self._walk(units, node, walk)
-        steps = np.repeat(units, np.diff(at))
-        cut = at[first]
+        later = np.arange(int(first[-1])) + np.repeat(unit - first[:-1], runs)
+        node = lat.root[self.back[later]]
+        node[first[:-1]] = lat.to[edges]
+        rest, at = self._walk(later, node, walk)
+        steps, cut = np.repeat(later, np.diff(at)), at[first]
         out_e, out_u = [], []
         for i in range(len(taken)):
-            out_e += [heads[i], [edge[i]], rest[cut[i] : cut[i + 1]]]
+            out_e += [heads[i], [edges[i]], rest[cut[i] : cut[i + 1]]]
             out_u += [head_units[i], steps[cut[i] : cut[i + 1]]]
-        size = turn + 1 + np.diff(cut)
-        return texts, Paths(lat, np.concatenate(out_e).astype(np.int64), np.concatenate(([0], np.cumsum(size))), np.concatenate(out_u)), turn, [x for x in shut]
+        ends = np.concatenate(([0], np.cumsum(turn + 1 + np.diff(cut))))
+        return texts, Paths(lat, np.concatenate(out_e).astype(np.int64), ends, np.concatenate(out_u)), turn
 
     def samples(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each rank: texts, all ids, where each text's begin, log probability, inclusion score."""
-        for texts, paths, _ in self.found:
+        for texts, paths in self.found:
             if paths is None:
                 yield texts, np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64), np.zeros(len(texts)), np.zeros(len(texts))
                 continue
             lat = self.lattices
-            ids = spread(lat.ids, lat.ids_at, paths.edges)
-            at = np.concatenate(([0], np.cumsum(lat.ids_at[paths.edges + 1] - lat.ids_at[paths.edges])))[paths.at]
+            if len(lat.ids) == len(lat.log_p):
+                ids, at = lat.ids[paths.edges], paths.at
+            else:
+                ids = spread(lat.ids, lat.ids_at, paths.edges)
+                at = np.concatenate(([0], np.cumsum(lat.ids_at[paths.edges + 1] - lat.ids_at[paths.edges])))[paths.at]
             with np.errstate(divide="ignore", over="ignore"):
                 gap = paths.log_p - self.left[texts]
                 inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.minimum(gap, 700)))))
@@ -233,9 +252,10 @@ def sample(docs: DataFrame, model: str, k: int = SAMPLES, steep: float = 1.0, id
                 for rank, (texts, found, at, log_p, inclusion) in enumerate(search.samples()):
                     raw, raw_at = p.decode(found, at)
                     small, raw = memoryview(found.astype("<u4")).cast("B"), memoryview(raw)
+                    raw_from, raw_to = raw_at[:-1] + (np.diff(raw_at) > 0), raw_at[1:]  # without the leading space
                     crc = [zlib.crc32(small[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                    back = np.array([zlib.crc32(raw[x:y]) for x, y in zip(raw_at[:-1].tolist(), raw_at[1:].tolist(), strict=True)], np.int64)
-                    same = (back == own[texts]) & (np.diff(raw_at) == np.diff(s.text_at)[texts])
+                    back = np.array([zlib.crc32(raw[x:y]) for x, y in zip(raw_from.tolist(), raw_to.tolist(), strict=True)], np.int64)
+                    same = (back == own[texts]) & (raw_to - raw_from == np.diff(s.text_at)[texts])
                     columns = [b["d"].take(pa.array(texts + s.row)), pa.array(np.full(len(texts), rank, np.int32)), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(log_p), pa.array(inclusion), pa.array(back), pa.array(same)]
                     names = ["doc_id", "rank", "n_ids", "ids_crc32", "log_p", "log_inclusion", "decoded_crc32", "decoded"]
                     if ids:
