@@ -158,7 +158,7 @@ class Lattices:
             width[-len(odd) :] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         score = np.where(piece >= 0, p.log_p[piece], width * p.byte_log_p)
 
-        order = np.argsort(left[place] * (n + 1) + place)  # all ways to the end, from the ends back
+        order = np.argsort(left[place] * (n + 1) + place, kind="stable")  # all ways to the end, from the ends back
         place, length, piece, width, score = (x[order] for x in (place, length, piece, width, score))
         total = np.zeros(n + 1)
         value = np.empty(len(place))
@@ -175,7 +175,8 @@ class Lattices:
                 total[place[head[a:b]]] = most + np.log(np.add.reduceat(np.exp(v - np.repeat(most, runs)), head[a:b] - x))
         log_p = value - total[place]
 
-        order = np.argsort(place - 0.9 * np.exp(log_p))
+        # the order of a node's edges depends on nothing else in the batch
+        order = np.argsort((place << 20) - (np.exp(np.minimum(log_p, 0)) * (1 << 19)).astype(np.int64), kind="stable")
         place, length, piece, width = (x[order] for x in (place, length, piece, width))
         self.log_p = np.minimum(log_p[order], 0)
         node = place + unit[place]
@@ -184,13 +185,13 @@ class Lattices:
         self.to = node + length
         self.end = count == 0
         self.root = at[:-1] + np.arange(len(size))
-        sums = np.concatenate(([0], np.cumsum(np.exp(self.log_p))))
-        self.cdf = sums[1:] - sums[self.first[node]]
+        self.cdf = np.exp(self.log_p)
+        for k in range(1, int(count.max(initial=0))):
+            e = self.first[:-1][count > k] + k
+            self.cdf[e] += self.cdf[e - 1]
         self.cdf[self.first[1:][count > 0] - 1] = np.inf
         one = count[node] == 1
         self.log_p[one] = 0
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.where(one, -np.inf, np.log(-np.expm1(self.log_p)))
         self.ids_at = np.concatenate(([0], np.cumsum(width)))
         self.ids = np.repeat(piece, width)
         for e in np.flatnonzero(piece < 0).tolist():

@@ -57,12 +57,15 @@ def pieces(path: str, steep: float) -> Pieces:
 
 
 class Paths:
-    """Edges of each text's path, one text after the other; ``sums``: log probabilities up to each step, over all texts."""
+    """Edges of each text's path, one text after the other; ``sums``: log probabilities up to each step and to the end, from ``sums_at`` on."""
 
     def __init__(self, lattices: Lattices, edges: np.ndarray, at: np.ndarray, unit: np.ndarray):
         self.edges, self.at, self.unit = edges, at, unit
-        self.sums = np.concatenate(([0.0], np.cumsum(lattices.log_p[edges])))
-        self.log_p = self.sums[at[1:]] - self.sums[at[:-1]]
+        self.sums_at = at[:-1] + np.arange(len(at) - 1)
+        self.sums, log_p = np.zeros(len(edges) + len(at) - 1), lattices.log_p[edges]
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            np.cumsum(log_p[a:b], out=self.sums[a + i + 1 : b + i + 1])
+        self.log_p = self.sums[self.sums_at + np.diff(at)]
 
 
 def _below(top: float, log_mass: float, u: float) -> float:
@@ -144,7 +147,7 @@ class Search:
 
         The mass of a range is the difference of the probabilities of the paths up to its ends, so it needs no look at its steps.
         """
-        first, size = paths.at[:-1], np.diff(paths.at)
+        first, size = paths.sums_at, np.diff(paths.at)
         key = T.mix(self.keys[texts] + _times(walk + 1, _WALK))
         low, width, j = start, 1, 0
         on = np.flatnonzero(low < size)
@@ -153,7 +156,7 @@ class Search:
             a, b = paths.sums[first[on] + low[on]], paths.sums[first[on] + high]
             u = T.unit_interval(T.mix(key[on] + _times(j, _STEP)))
             with np.errstate(divide="ignore"):
-                mass = a - paths.sums[first[on]] + np.log(-np.expm1(b - a))
+                mass = a + np.log(-np.expm1(b - a))
                 bound = -np.logaddexp(-value[on], np.log(-np.log(u)) - mass)
             for i, x, y, g, m in zip(on.tolist(), low[on].tolist(), high.tolist(), bound.tolist(), mass.tolist(), strict=True):
                 if m > -np.inf:
@@ -172,7 +175,7 @@ class Search:
         for (t, (top, w, i, low, high, shut)), u in zip(taken, draws, strict=True):
             base = self.found[w][1]
             a = int(base.at[i])
-            sums = base.sums[a + low : a + high + 1] - base.sums[a]
+            sums = base.sums[int(base.sums_at[i]) :][low : high + 1]
             turn = low
             if high - low > 1:
                 level = sums[0] + math.log1p(u[0] * math.expm1(sums[-1] - sums[0]))
