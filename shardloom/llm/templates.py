@@ -34,7 +34,7 @@ WINDOW = 8
 LITERALS = 4
 """Ordinary tokens that a window has at least (half of a smaller window)."""
 NEED = 13
-CONFLICTS = 0.2
+CONFLICTS = 0.1
 MOST_HASHES = 2_000_000
 
 # Words that count as numbers, and words that count as units.
