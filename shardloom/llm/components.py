@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "star")
-        large = stored(now.join(least.withColumnRenamed("u", "lo"), "lo").select("hi", F.col("m").alias("lo")).distinct(), "large")
+        large = stored(now.join(least.withColumnRenamed("u", "lo"), "lo").select("hi", F.col("m").alias("lo")), "large")
         # an edge's smaller end sends the larger one to the least that it knows; the larger end then joins all of its smaller ones
         root = stored(large.groupBy("hi").agg(F.min("lo").alias("m")), "star")
         small = large.join(root, "hi")
@@ -34,4 +34,4 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == last:
             break
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("label"))
-    return stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct())
+    return stored(stars.unionByName(stars.select(F.col("label").alias("node"), "label").distinct()), "classes")

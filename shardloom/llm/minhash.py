@@ -9,10 +9,10 @@ and twice as far where a coordinate is still empty, so most elements of a long t
 texts share a coordinate with the probability of their weighted Jaccard similarity.
 
 1. Texts that are equal count once. Their signatures are cut into bands; texts with an equal band share a bucket.
-2. Each bucket has a centre, its least text, and every other text of the bucket is compared with it, exactly.
+2. Each bucket has a centre, one of its texts by a hash, and every other text of the bucket is compared with it, exactly.
 3. Pairs of at least the similarity are links, and their connected components are classes.
-4. Other pairs of a bucket are compared if they can still change a class: their classes differ, and their
-   distances from the centre, ``1 - similarity`` being a metric, do not rule the link out.
+4. Other pairs of a bucket are compared if they can still change a class: their classes differ, and what
+   each of the two has that no other text has does not rule the link out.
 
 So a bucket of n copies costs n comparisons, while no link between texts that share a bucket is lost.
 
@@ -177,43 +177,70 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY,
     """key, label: each text that is linked to another, and the key of its class."""
     signed = stored(banded(docs, text, bands, rows, words), "bands")
     places = signed.select(F.explode("bands").alias("bucket"), "key")
-    buckets = stored(places.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("centre")).where("n > 1").select("bucket", "centre"), "buckets")
-    members = stored(places.join(buckets, "bucket").select("bucket", "centre", "key"), "members")
-    pairs = stored(members.where("key <> centre").select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
+    centre = F.min_by("key", F.xxhash64("bucket", "key")).alias("centre")  # another one in each bucket
+    buckets = stored(places.groupBy("bucket").agg(F.count("*").alias("n"), centre).where("n > 1").select("bucket", "centre"), "buckets")
+    members = stored(places.join(buckets, "bucket").where("key <> centre").select("bucket", "centre", "key"), "members")
+    pairs = stored(members.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     own = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).where(has_words("t"))
-    texts = stored(own.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")), "texts")
-    checked = stored(compared(pairs, texts, words), "compared")
-    links = checked.where(F.col("similarity") >= similarity).select("a", "b")
-    found = stored(components(links), "classes")
-    rest = stored(_open_pairs(members, checked, found, 1 - similarity), "pairs")
+    # texts are reduced to one of each key before the join, and the join is the same at any size
+    texts = stored(own.groupBy("key").agg(F.first("t").alias("t")).join(wanted.hint("merge"), "key", "left_semi"), "texts")
+    links = stored(compared(pairs, texts, words).where(F.col("similarity") >= similarity).select("a", "b"), "links")
+    found = components(links)
+    rest = stored(_open_pairs(members, texts, found, similarity, words), "pairs")
     if rest.isEmpty():
         return found
     more = compared(rest, texts, words).where(F.col("similarity") >= similarity).select("a", "b")
-    return stored(components(links.unionByName(more)), "classes")
+    more = stored(more, "links")
+    return found if more.isEmpty() else components(links.unionByName(more))
 
 
-def _open_pairs(members: DataFrame, checked: DataFrame, found: DataFrame, reach: float) -> DataFrame:
-    """a, b: pairs of a bucket besides the centre's whose link could still join two classes."""
-    away = checked.select(F.col("a").alias("key"), F.col("b").alias("centre"), (1 - F.col("similarity")).alias("away"))
-    placed = members.where("key <> centre").join(away, ["key", "centre"]).join(found.withColumnRenamed("node", "key"), "key", "left")
-    placed = placed.select("bucket", "key", "away", F.coalesce("label", "key").alias("label"))
+def _own_weights(texts: DataFrame, words: int) -> DataFrame:
+    """key, weight, alone: the weight of each text, and how much of it no other of the texts has."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in T.slices(b["t"]):
+                keys, doc = shingles(s, words)
+                yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(doc + s.row)), pa.array(_units(keys, doc).view(np.int64))], names=["key", "unit"])
+
+    units = texts.mapInArrow(cut, "key binary, unit long")
+    once = units.groupBy("unit").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
+    return units.groupBy("key").agg(F.count("*").alias("weight")).join(once, "key", "left").select("key", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _open_pairs(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, words: int) -> DataFrame:
+    """a, b: pairs of a bucket besides the centre's whose link could still join two classes.
+
+    What a text has alone it shares with none, so two texts of weights x and y share at most the lesser of what is left, s, and
+    their similarity is at most s / (x + y - s). A text that cannot reach the similarity with the lightest text of its bucket is
+    left out before the join; and only texts outside a bucket's most frequent class look for partners.
+    """
+    placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     some = stored(placed.join(mixed, "bucket", "left_semi"), "open")
-    x, y = some.alias("x"), some.alias("y")
-    possible = (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.away") - F.col("y.away")) <= reach + 1e-9)
-    return x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & possible).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    if some.isEmpty():
+        return some.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    weights = stored(_own_weights(texts.join(some.select("key").distinct(), "key", "left_semi"), words), "weights")
+    least = some.join(weights, "key")
+    light = stored(least.groupBy("bucket").agg(F.min("weight").alias("light")), "light")
+    shared = F.col("weight") - F.col("alone")
+    able = stored(least.join(light, "bucket").where(shared >= similarity * (F.col("weight") + F.col("light") - shared)).select("bucket", "key", "label", "weight", shared.alias("shared")), "able")
+    counts = able.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    major = stored(counts.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("major")).where("classes > 1").select("bucket", "major"), "major")
+    x, y = stored(able.join(major, "bucket").where("label <> major").drop("major"), "minor").alias("x"), able.alias("y")
+    both = F.least("x.shared", "y.shared")
+    possible = (F.col("x.label") != F.col("y.label")) & (both >= similarity * (F.col("x.weight") + F.col("y.weight") - both))
+    return x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & possible).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """doc_id, key, class_id and class_key for every row."""
     found = classes(docs, text, **parameters)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("key"))
-    texts = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    labelled = stored(texts.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", F.coalesce("label", "key").alias("class_key"), "least"), "labelled")
-    least = stored(labelled.groupBy("class_key").agg(F.min("least").alias("class_id")), "least")
-    named = stored(labelled.join(least, "class_key").select("key", "class_key", "class_id"), "named")
-    return rows.join(named, "key", "left").select("doc_id", "key", "class_id", "class_key")
+    named = stored(rows.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("class_key")), "named")
+    least = stored(named.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "least")
+    return named.join(least, "class_key").select("doc_id", "key", "class_id", "class_key")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
