@@ -12,7 +12,7 @@ texts share a coordinate with the probability of their weighted Jaccard similari
 2. Each bucket has a centre, one of its texts by a hash, and every other text of the bucket is compared with it, exactly.
 3. Pairs of at least the similarity are links, and their connected components are classes.
 4. Other pairs of a bucket are compared if they can still change a class: their classes differ, and what
-   each of the two has that no other text has does not rule the link out.
+   each of the two has that the other cannot have does not rule the link out.
 
 So a bucket of n copies costs n comparisons, while no link between texts that share a bucket is lost.
 
@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
 """A pair of similarity 0.8 shares one of 24 bands of 5 with probability 0.99993."""
+BITS = 16
+"""Slots of a sketch for each shingle of a text."""
 _DART = 0xA0761D6478BD642F
 _UNIT = 0xE7037ED1A0B428DB
 
@@ -195,6 +197,32 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY,
     return found if more.isEmpty() else components(links.unionByName(more))
 
 
+SKETCH = "cls int, bits array<long>, half array<long>"
+
+
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """key, cls, bits, half: which of 2**cls slots, about BITS for each unit of a text's weight, its units hash to; half: of the slots' half."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in T.slices(b["t"]):
+                keys, doc = shingles(s, words)
+                unit = _units(keys, doc)
+                weight = np.bincount(doc, minlength=s.n)
+                cls = np.maximum(np.ceil(np.log2(np.maximum(weight, 1) * BITS)), 7).astype(np.int64)
+                columns = []
+                for less in (0, 1):
+                    size = np.left_shift(1, cls - less - 6)  # longs
+                    at = np.concatenate(([0], np.cumsum(size)))
+                    slot = (unit & (np.left_shift(np.uint64(1), (cls - less).astype(np.uint64))[doc] - np.uint64(1))).astype(np.int64)
+                    longs = np.zeros(int(at[-1]), np.uint64)
+                    np.bitwise_or.at(longs, at[doc] + (slot >> 6), np.left_shift(np.uint64(1), (slot & 63).astype(np.uint64)))
+                    columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(longs.view(np.int64))))
+                yield pa.RecordBatch.from_arrays([b["key"].slice(s.row, s.n), pa.array(cls.astype(np.int32)), *columns], names=["key", "cls", "bits", "half"])
+
+    return texts.mapInArrow(sketch, f"key binary, {SKETCH}")
+
+
 def _own_weights(texts: DataFrame, words: int) -> DataFrame:
     """key, weight, alone: the weight of each text, and how much of it no other of the texts has."""
 
@@ -209,28 +237,43 @@ def _own_weights(texts: DataFrame, words: int) -> DataFrame:
     return units.groupBy("key").agg(F.count("*").alias("weight")).join(once, "key", "left").select("key", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
+def _without(a: Column, b: Column) -> Column:
+    """How many slots of one sketch the other lacks: at least so much weight isn't shared."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda n, m: n + m)
+
+
 def _open_pairs(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, words: int) -> DataFrame:
     """a, b: pairs of a bucket besides the centre's whose link could still join two classes.
 
-    What a text has alone it shares with none, so two texts of weights x and y share at most the lesser of what is left, s, and
-    their similarity is at most s / (x + y - s). A text that cannot reach the similarity with the lightest text of its bucket is
-    left out before the join; and only texts outside a bucket's most frequent class look for partners.
+    What a text has alone it shares with none, and what one's sketch has and the other's lacks isn't shared either. So two texts of
+    weights x and y share at most the least of what is left, s, and their similarity is at most s / (x + y - s). A text that cannot
+    reach the similarity with the lightest text of its bucket is left out before the join; only texts outside a bucket's most
+    frequent class look for partners; and the join gives only pairs that both bounds leave open.
     """
     placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
     some = stored(placed.join(mixed, "bucket", "left_semi"), "open")
     if some.isEmpty():
         return some.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    weights = stored(_own_weights(texts.join(some.select("key").distinct(), "key", "left_semi"), words), "weights")
-    least = some.join(weights, "key")
+    own = stored(texts.join(some.select("key").distinct(), "key", "left_semi"), "open-texts")
+    least = some.join(stored(_own_weights(own, words), "weights"), "key")
     light = stored(least.groupBy("bucket").agg(F.min("weight").alias("light")), "light")
     shared = F.col("weight") - F.col("alone")
     able = stored(least.join(light, "bucket").where(shared >= similarity * (F.col("weight") + F.col("light") - shared)).select("bucket", "key", "label", "weight", shared.alias("shared")), "able")
     counts = able.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     major = stored(counts.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("major")).where("classes > 1").select("bucket", "major"), "major")
-    x, y = stored(able.join(major, "bucket").where("label <> major").drop("major"), "minor").alias("x"), able.alias("y")
-    both = F.least("x.shared", "y.shared")
-    possible = (F.col("x.label") != F.col("y.label")) & (both >= similarity * (F.col("x.weight") + F.col("y.weight") - both))
+    left = able.join(major, "bucket")
+    sketched = stored(left.join(_sketches(own, words), "key"), "sketched")
+    x, y = sketched.where("label <> major").alias("x"), sketched.alias("y")
+    p = F.when(F.col("x.cls") > F.col("y.cls"), F.col("x.half")).otherwise(F.col("x.bits"))
+    q = F.when(F.col("x.cls") < F.col("y.cls"), F.col("y.half")).otherwise(F.col("y.bits"))
+    weights = F.col("x.weight") + F.col("y.weight")
+
+    def enough(s: Column) -> Column:
+        return s >= similarity * (weights - s)
+
+    possible = (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.cls") - F.col("y.cls")) <= 1) & enough(F.least("x.shared", "y.shared"))
+    possible = possible & enough(F.col("x.weight") - _without(p, q)) & enough(F.col("y.weight") - _without(q, p))
     return x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & possible).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
 
 
