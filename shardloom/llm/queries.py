@@ -129,5 +129,44 @@ FROM documents d LEFT JOIN gone ON d.doc_id = gone.doc_id""",
 }
 
 
+def _licence_sql() -> str:
+    """The licence scan in SQL; the templates are the operator's."""
+    rows = ", ".join(f"({n}, '{name}', '{body.replace(chr(39), chr(39) * 2)}')" for n, (name, body) in enumerate(licences.TEMPLATES))
+    split = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda x: x <> '')"
+    return f"""
+WITH templates(n, licence, body) AS (VALUES {rows}),
+d AS (SELECT row_number() OVER () AS k, doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
+tt AS (SELECT n, licence, term, count(*) AS c FROM (SELECT n, licence, unnest({split.format('body')}) AS term FROM templates) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT k, unnest({split.format('text')}) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+total AS (SELECT count(*) AS docs FROM documents),
+idf AS (SELECT term, ln((docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), total),
+tv AS (SELECT n, licence, term, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY n)) AS w FROM tt JOIN idf USING (term)),
+u AS (
+  SELECT k, 'line' AS kind, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS p FROM d
+  UNION ALL SELECT k, 'paragraph', unnest(range(len(regexp_split_to_array(text, '\n[ \t]*\n')))), unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM d
+  UNION ALL SELECT k, 'text', 0, text FROM d),
+tf AS (SELECT k, kind, i, term, count(*) AS tf FROM (SELECT k, kind, i, unnest({split.format('p')}) AS term FROM u WHERE kind <> 'paragraph' OR contains(trim(p), chr(10))) GROUP BY ALL),
+weighed AS (SELECT tf.*, tf * coalesce(idf, ln(docs + 1) + 1) AS w FROM tf LEFT JOIN idf USING (term), total),
+norms AS (SELECT k, kind, i, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+cosines AS (
+  SELECT k, kind, i, n, licence, round(sum(a.w * b.w) / any_value(norm), 9) AS cosine FROM weighed a JOIN tv b USING (term) JOIN norms USING (k, kind, i) GROUP BY k, kind, i, n, licence),
+units AS (SELECT k, kind, cosine, licence FROM cosines WHERE cosine >= {licences.THRESHOLD} QUALIFY row_number() OVER (PARTITION BY k, kind, i ORDER BY cosine DESC, licence DESC) = 1),
+best AS (SELECT k, kind <> 'text' AS header, cosine, licence FROM units QUALIFY row_number() OVER (PARTITION BY k, kind <> 'text' ORDER BY cosine DESC, licence DESC) = 1),
+marked AS (
+  SELECT d.*, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir, h.licence AS hl, h.cosine AS hc, f.licence AS fl, f.cosine AS fc
+  FROM d LEFT JOIN best h ON h.k = d.k AND h.header LEFT JOIN best f ON f.k = d.k AND NOT f.header),
+declared AS (SELECT dir AS above, fl AS licence, fc AS cosine FROM marked WHERE fl IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dir ORDER BY fc DESC, fl DESC) = 1),
+near AS (
+  SELECT dir, above, licence, cosine FROM (SELECT DISTINCT dir FROM marked WHERE hl IS NULL) JOIN declared ON dir = above OR starts_with(dir, above || '/') OR above = ''
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) = 1)
+SELECT doc_id, path, coalesce(hl, fl, near.licence) AS licence,
+  CASE WHEN fl IS NOT NULL THEN 'file' WHEN hl IS NOT NULL THEN 'header' WHEN near.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS scope,
+  coalesce(hc, fc, near.cosine) AS cosine, CASE WHEN hl IS NULL AND fl IS NULL AND near.licence IS NOT NULL THEN above END AS from_dir
+FROM marked LEFT JOIN near ON near.dir = marked.dir"""
+
+
+ORACLES["op10_licence_cosine"] = _licence_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
