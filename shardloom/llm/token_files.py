@@ -44,6 +44,8 @@ SAMPLE_DOCS = 512
 SAMPLE_TEXT_BYTES = 64 << 10
 """The dictionary is trained on at most SAMPLE_DOCS documents, none with a text of more bytes than this."""
 FILE_TEXT_BYTES = 64 << 20
+MOST_FILES = 20_000
+"""A file holds FILE_TEXT_BYTES of text, or more where there would be more files than this; the driver lists them."""
 LEVEL = 3
 _INDEX = np.dtype([("offset", "<u8"), ("n_ids", "<u4"), ("null", "<u4"), ("doc_id", "<i8")])
 _FOOTER = np.dtype([("index_at", "<u8"), ("n_docs", "<u8"), ("n_ids", "<u8")])
@@ -149,7 +151,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, width:
     The manifest has a row for each file, which holds about ``file_text_bytes`` of text.
     """
     spark = docs.sparkSession
-    files = max(1, -(-text_bytes(docs) // file_text_bytes))
+    files = min(MOST_FILES, max(1, -(-text_bytes(docs) // file_text_bytes)))
     bounds = id_bounds(docs, files)
     dictionary = train(docs, vocabulary, width, end_id)
     head = MAGIC + hashlib.sha256(dictionary).digest() + bytes([width])
@@ -173,7 +175,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, width:
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "path", "n_docs", "n_ids"), d, strict=True)) for d in done], pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     rows = frames(docs, vocabulary, bounds, dictionary, width, end_id)
-    sorted_rows = rows.repartition(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "h")
+    sorted_rows = rows.repartitionById(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "h")
     manifest, first, listed = sorted_rows.mapInArrow(save, "file int, path string, n_docs long, n_ids long").collect(), 0, []
     for file, path, n_docs, n_ids in sorted(manifest):
         listed.append((file, path, n_docs, n_ids, first))
@@ -238,7 +240,8 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
                 doc_id = pa.array(r.index["doc_id"], mask=r.index["null"] != 0)
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(start), pa.array(n), pa.array(found), pa.array(np.full(len(n), file, np.int32)), pa.array(np.arange(len(n)))], names=["doc_id", "start", "n_tokens", "ids_crc32", "file", "place"])
 
-    return manifest.repartition(max(1, manifest.count()), "file").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, file int, place long")
+    files = (manifest.agg(F.max("file")).first()[0] or 0) + 1
+    return manifest.repartitionById(files, "file").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, file int, place long")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
