@@ -6,8 +6,8 @@ are removed, and overlapping windows merge. Windows are judged on the input, and
 lines are all blank does not count.
 
 Texts meet their decisions in one join; the hashes are counted with partial aggregates, so a window
-that a third of the documents share is one row from each task, and the join back is an ordinary one
-that adaptive execution splits where it is skewed.
+that a third of the documents share is one row from each task. Repeated windows are written to a table
+before the join back, so that it is an ordinary one that adaptive execution splits where it is skewed.
 
 Defined cases: null texts stay null with no lines; texts of fewer than three lines stay as they are;
 rows equal in doc_id and text are one document and keep or lose the same lines; a null doc_id counts
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.llm.common import fresh, row_key
+from shardloom.llm.common import fresh, row_key, stored
 
 LINES = 3
 
@@ -38,7 +38,7 @@ def repeated_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return F.struct(i.alias("i"), F.xxhash64(*own).alias("h1"), F.xxhash64(F.lit("second"), *own[::-1]).alias("h2"), (F.trim(F.concat(*own)) != "").alias("said"))
 
     found = parts.select("_k", "_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("_l") - lines), window)).alias("w")).where("w.said").select("_k", "_id", "w.i", "w.h1", "w.h2")
-    firsts = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_k", "i")).alias("first")).where("n > 1")
+    firsts = stored(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_k", "i")).alias("first")).where("n > 1").select("h1", "h2", "first"), "line-windows")
     later = found.join(firsts, ["h1", "h2"]).where(~F.struct("_id", "_k", "i").eqNullSafe(F.col("first")))
     return later.groupBy("_k", "_id").agg(F.collect_set("i").alias("_starts"))
 
