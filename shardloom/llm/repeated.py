@@ -37,23 +37,26 @@ class Distinct:
         self.back = np.empty(len(k), np.int64)
         self.back[order] = np.cumsum(new) - 1
 
-    def _edges(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    def _runs(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets that get keys, and where the keys of each begin (one more than buckets)."""
         bucket = ((self.keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        return bucket, np.searchsorted(bucket, np.arange(buckets + 1))
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        return bucket[first], np.append(first, len(bucket))
 
     def sent(self, part: int, buckets: int) -> pa.Table:
         """One row for each bucket that gets keys."""
-        _, edges = self._edges(buckets)
-        rows = [(part, b, self.keys[x:y].tobytes(), None if self.second is None else self.second[x:y].tobytes(), np.packbits(self.more[x:y]).tobytes()) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
+        names, edges = self._runs(buckets)
+        rows = [(part, b, self.keys[x:y].tobytes(), None if self.second is None else self.second[x:y].tobytes(), np.packbits(self.more[x:y]).tobytes()) for b, x, y in zip(names.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], _SENT.field(i).type) for i in range(5)], schema=_SENT)
 
     def flags(self, answer: pa.Table, kind: int, buckets: int) -> np.ndarray:
         """For each key as it was given (before sorting): does it occur more than once in the corpus."""
-        _, edges = self._edges(buckets)
+        names, edges = self._runs(buckets)
         hit = np.zeros(len(self.keys), bool)
         for k, b, bits in zip(*(answer[c].to_pylist() for c in ("kind", "bucket", "hits")), strict=True):
             if k == kind:
-                x, y = edges[b], edges[b + 1]
+                i = int(np.searchsorted(names, b))
+                x, y = edges[i], edges[i + 1]
                 hit[x:y] = np.unpackbits(np.frombuffer(bits, np.uint8), count=y - x).astype(bool)
         return hit[self.back]
 
