@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
 """A pair of similarity 0.8 shares one of 24 bands of 5 with probability 0.99993."""
-BITS = 16
+BITS = 8
 """Slots of a sketch for each shingle of a text."""
 _DART = 0xA0761D6478BD642F
 _UNIT = 0xE7037ED1A0B428DB
@@ -194,7 +194,16 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY,
         return found
     more = compared(rest, texts, words).where(F.col("similarity") >= similarity).select("a", "b")
     more = stored(more, "links")
-    return found if more.isEmpty() else components(links.unionByName(more))
+    return found if more.isEmpty() else _joined(found, more)
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """The classes with more links between them: a link joins the labels of its ends."""
+    a, b = (found.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in "ab")
+    between = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    top = components(between)
+    moved = found.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    return stored(moved.unionByName(top).distinct(), "classes")
 
 
 SKETCH = "cls int, bits array<long>, half array<long>"
@@ -246,9 +255,9 @@ def _open_pairs(members: DataFrame, texts: DataFrame, found: DataFrame, similari
     """a, b: pairs of a bucket besides the centre's whose link could still join two classes.
 
     What a text has alone it shares with none, and what one's sketch has and the other's lacks isn't shared either. So two texts of
-    weights x and y share at most the least of what is left, s, and their similarity is at most s / (x + y - s). A text that cannot
-    reach the similarity with the lightest text of its bucket is left out before the join; only texts outside a bucket's most
-    frequent class look for partners; and the join gives only pairs that both bounds leave open.
+    weights x and y share at most the least of what is left, s, and their similarity is at most s / (x + y - s), or s / x. A text that
+    has too much alone is left out before the join; only texts outside a bucket's most frequent class look for partners; and the
+    join gives only pairs that both bounds leave open.
     """
     placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
@@ -256,10 +265,8 @@ def _open_pairs(members: DataFrame, texts: DataFrame, found: DataFrame, similari
     if some.isEmpty():
         return some.select(F.col("key").alias("a"), F.col("key").alias("b"))
     own = stored(texts.join(some.select("key").distinct(), "key", "left_semi"), "open-texts")
-    least = some.join(stored(_own_weights(own, words), "weights"), "key")
-    light = stored(least.groupBy("bucket").agg(F.min("weight").alias("light")), "light")
     shared = F.col("weight") - F.col("alone")
-    able = stored(least.join(light, "bucket").where(shared >= similarity * (F.col("weight") + F.col("light") - shared)).select("bucket", "key", "label", "weight", shared.alias("shared")), "able")
+    able = stored(some.join(_own_weights(own, words).where(shared >= similarity * F.col("weight")), "key").select("bucket", "key", "label", "weight", shared.alias("shared")), "able")
     counts = able.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     major = stored(counts.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("major")).where("classes > 1").select("bucket", "major"), "major")
     left = able.join(major, "bucket")
