@@ -85,21 +85,24 @@ def _units(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _throw(unit: np.ndarray, doc: np.ndarray, most: np.ndarray, k: int, best: np.ndarray, sign: np.ndarray) -> None:
     """Throws the darts of all units up to the rank ``most`` of their text into best (rank) and sign (dart) of each text's coordinates."""
     far = most[doc]
-    for step, which in ((2, np.flatnonzero(far < 4)), (64, np.flatnonzero(far >= 4))):
-        thrown, rank = 0, np.zeros(len(which))
-        while len(which):
-            number = np.arange(thrown + 1, thrown + step + 1, dtype=np.uint64) * np.uint64(_DART)
-            dart = T.mix(unit[which][:, None] + number[None, :])
-            ranks = rank[:, None] - np.cumsum(np.log(T.unit_interval(dart)), 1)
-            low = ranks <= far[which][:, None]
-            row, _ = np.nonzero(low)
-            own, at = T.mix(dart[low] + np.uint64(1)), ranks[low]
-            slot = doc[which][row] * k + (own % np.uint64(k)).astype(np.int64)
-            np.minimum.at(best, slot, at)
-            won = best[slot] == at
-            sign[slot[won]] = own[won]
-            go = low[:, -1]
-            which, rank, thrown = which[go], ranks[go, -1], thrown + step
+    for step, low, high in ((2, 0, 3), (8, 3, 12), (32, 12, 48), (64, 48, np.inf)):  # about as many darts at a time as are to be expected
+        some, most_units = np.flatnonzero((far >= low) & (far < high)), (1 << 19) // step
+        for i in range(0, len(some), most_units):
+            which = some[i : i + most_units]
+            thrown, rank = 0, np.zeros(len(which))
+            while len(which):
+                number = np.arange(thrown + 1, thrown + step + 1, dtype=np.uint64) * np.uint64(_DART)
+                dart = T.mix(unit[which][:, None] + number[None, :])
+                ranks = rank[:, None] - np.cumsum(np.log(T.unit_interval(dart)), 1)
+                near = ranks <= far[which][:, None]
+                row, _ = np.nonzero(near)
+                own, at = T.mix(dart[near] + np.uint64(1)), ranks[near]
+                slot = doc[which][row] * k + (own % np.uint64(k)).astype(np.int64)
+                np.minimum.at(best, slot, at)
+                won = best[slot] == at
+                sign[slot[won]] = own[won]
+                go = near[:, -1]
+                which, rank, thrown = which[go], ranks[go, -1], thrown + step
 
 
 def signatures(s: T.Slice, k: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
