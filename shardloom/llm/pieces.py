@@ -66,12 +66,12 @@ class Pieces:
                     piece.append(-1)
                 node = nodes[key]
             piece[node] = i
-        self.node_piece = np.array(piece)
+        self.node_piece = np.array(piece, np.int32)
         self.longest = max(map(len, self.words), default=1)
         keys = np.array([a << 21 | c for a, c in nodes], np.uint64)
         bits = max(4, int(4 * len(keys)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.table, self.child = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.full(1 << bits, -1, np.int64)
+        self.table, self.child = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.full(1 << bits, -1, np.int32)
         for key, slot, to in zip(keys.tolist(), (T.mix(keys) >> self.shift).tolist(), nodes.values(), strict=True):
             while self.child[slot] >= 0:
                 slot = (slot + 1) % len(self.table)
@@ -81,7 +81,7 @@ class Pieces:
         """The child of each node by a character; -1 where there is none."""
         key = node.astype(np.uint64) << np.uint64(21) | char.astype(np.uint64)
         slot = (T.mix(key) >> self.shift).astype(np.int64)
-        out = np.where(self.table[slot] == key, self.child[slot], -1)
+        out = np.where(self.table[slot] == key, self.child[slot], np.int32(-1))
         on = np.flatnonzero((out < 0) & (self.child[slot] >= 0))
         while len(on):
             slot[on] = (slot[on] + 1) % len(self.table)
@@ -92,10 +92,10 @@ class Pieces:
 
     def units(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The characters of a slice's texts, where units start (and the end), and each text's first unit (one more than texts)."""
-        chars = np.frombuffer(s.data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        chars = np.frombuffer(s.data.tobytes().decode().encode("utf-32-le"), np.uint32)
         heads = np.concatenate(([0], np.cumsum((s.data & 0xC0) != 0x80)))[s.text_at]
         some = np.diff(heads) > 0
-        chars = np.insert(np.where(chars == 32, SPACE, chars), heads[:-1][some], SPACE)
+        chars = np.insert(np.where(chars == 32, np.uint32(SPACE), chars), heads[:-1][some], SPACE)
         heads = heads + np.concatenate(([0], np.cumsum(some)))
         kinds = self.kind[chars]
         cut = np.ones(len(chars) + 1, bool)
@@ -135,14 +135,15 @@ class Lattices:
         unit = np.repeat(np.arange(len(size)), size)
         left = at[1:][unit] - np.arange(n)
         place, length, piece = [], [], []
-        where, node = np.arange(n), np.zeros(n, np.int64)
+        left = left.astype(np.int32)
+        where, node = np.arange(n, dtype=np.int32), np.zeros(n, np.int32)
         for k in range(1, p.longest + 1):
             node = p.step(node, own[where + k - 1])
             found = node >= 0
             where, node = where[found], node[found]
             known = p.node_piece[node] >= 0
             place.append(where[known])
-            length.append(np.full(int(known.sum()), k))
+            length.append(np.full(int(known.sum()), k, np.int8))
             piece.append(p.node_piece[node[known]])
             on = left[where] > k
             where, node = where[on], node[on]
@@ -150,15 +151,16 @@ class Lattices:
                 break
         alone = np.ones(n, bool)
         alone[place[0] if place else []] = False
-        odd = np.flatnonzero(alone)
-        place, length, piece = np.concatenate([*place, odd]), np.concatenate([*length, np.ones(len(odd), np.int64)]), np.concatenate([*piece, np.full(len(odd), -1)])
-        width = np.ones(len(place), np.int64)
+        odd = np.flatnonzero(alone).astype(np.int32)
+        place, length, piece = np.concatenate([*place, odd]), np.concatenate([*length, np.ones(len(odd), np.int8)]), np.concatenate([*piece, np.full(len(odd), -1, np.int32)])
+        del where, node, alone
+        width = np.ones(len(place), np.int8)
         if len(odd):
             code = own[odd]
             width[-len(odd) :] = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
         score = np.where(piece >= 0, p.log_p[piece], width * p.byte_log_p)
 
-        order = np.argsort(left[place] * (n + 1) + place, kind="stable")  # all ways to the end, from the ends back
+        order = np.argsort(left[place].astype(np.int64) * (n + 1) + place, kind="stable")  # all ways to the end, from the ends back
         place, length, piece, width, score = (x[order] for x in (place, length, piece, width, score))
         total = np.zeros(n + 1)
         value = np.empty(len(place))
@@ -176,10 +178,12 @@ class Lattices:
         log_p = value - total[place]
 
         # the order of a node's edges depends on nothing else in the batch
-        order = np.argsort((place << 20) - (np.exp(np.minimum(log_p, 0)) * (1 << 19)).astype(np.int64), kind="stable")
+        del value, total, score, head, last
+        order = np.argsort((place.astype(np.int64) << 20) - (np.exp(np.minimum(log_p, 0)) * (1 << 19)).astype(np.int64), kind="stable")
         place, length, piece, width = (x[order] for x in (place, length, piece, width))
         self.log_p = np.minimum(log_p[order], 0)
-        node = place + unit[place]
+        del log_p, order
+        node = place + unit[place].astype(np.int32)
         count = np.bincount(node, minlength=n + len(size))
         self.first = np.concatenate(([0], np.cumsum(count)))
         self.to = node + length
@@ -192,7 +196,7 @@ class Lattices:
         self.cdf[self.first[1:][count > 0] - 1] = np.inf
         one = count[node] == 1
         self.log_p[one] = 0
-        self.ids_at = np.concatenate(([0], np.cumsum(width)))
+        self.ids_at = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
         self.ids = np.repeat(piece, width)
         for e in np.flatnonzero(piece < 0).tolist():
             self.ids[self.ids_at[e] : self.ids_at[e + 1]] = p.byte_id[np.frombuffer(chr(own[place[e]]).encode("utf-8", "surrogatepass"), np.uint8)]

@@ -38,7 +38,7 @@ from shardloom.llm.pieces import Lattices, Pieces, hashes
 from shardloom.llm.units import spread
 
 SAMPLES = 2
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 3 << 19
 _STEP, _UNIT, _WALK = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3B195354A39B70D, 0x8BB84B93962EACC9))
 
 
@@ -92,6 +92,7 @@ class Search:
             return
         self.lattices = Lattices(p, chars, starts[where], starts[where + 1])
         size = np.diff(self.text_unit)
+        del chars, starts, distinct, where
         number = np.arange(len(back)) - np.repeat(self.text_unit[:-1], size)
         self.unit_key = T.mix(np.repeat(keys, size) + number.astype(np.uint64) * _UNIT)
         self._run(k)
@@ -113,13 +114,13 @@ class Search:
                 edge[some] += 1
                 over = np.flatnonzero(u > lat.cdf[edge[some]])
                 some, u = some[over], u[over]
-            steps.append((on, edge))
+            steps.append((on.astype(np.int32), edge.astype(np.int32)))
             count[on] += 1
             node = lat.to[edge]
             go = np.flatnonzero(~lat.end[node])
             on, node, step = on[go], node[go], step + 1
         at = np.concatenate(([0], np.cumsum(count)))
-        out = np.empty(int(at[-1]), np.int64)
+        out = np.empty(int(at[-1]), np.int32)
         for k, (who, edge) in enumerate(steps):
             out[at[who] + k] = edge
         return out, at
@@ -217,7 +218,7 @@ class Search:
             out_e += [heads[i], [edges[i]], rest[cut[i] : cut[i + 1]]]
             out_u += [head_units[i], steps[cut[i] : cut[i + 1]]]
         ends = np.concatenate(([0], np.cumsum(turn + 1 + np.diff(cut))))
-        return texts, Paths(lat, np.concatenate(out_e).astype(np.int64), ends, np.concatenate(out_u)), turn
+        return texts, Paths(lat, np.concatenate(out_e).astype(np.int32), ends, np.concatenate(out_u)), turn
 
     def samples(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """For each rank: texts, all ids, where each text's begin, log probability, inclusion score."""
