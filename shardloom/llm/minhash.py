@@ -167,7 +167,7 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size = sum(pc.binary_length(b[c]).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ta", "tb"))
-            part = np.cumsum(size, dtype=np.int64) // (2 * T.SLICE_BYTES)
+            part = np.cumsum(size, dtype=np.int64) // T.SLICE_BYTES
             edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
             for x, y in zip(edges[:-1], edges[1:], strict=True):
                 if y > x:

@@ -93,8 +93,8 @@ s AS (
   FROM w),
 c AS (SELECT doc_id, g, count(*) AS c FROM s GROUP BY ALL),
 n AS (SELECT doc_id, sum(c) AS n FROM c GROUP BY doc_id),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS both FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE both >= 0.8 * (a.n + b.n - both)),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS shared FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE shared >= 0.8 * (a.n + b.n - shared)),
 links AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
 reach(doc_id, least) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, least FROM reach JOIN links ON x = doc_id)
 SELECT doc_id, min(least) AS class_id FROM reach GROUP BY doc_id""",
