@@ -7,6 +7,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +142,21 @@ def test_quality(spark, sf_dir, documents, odd_docs, no_docs):
     assert {r["score"] for r in quality.score(odd_docs, labels.where("false")).collect()} == {0.0}
 
 
+def test_quality_model_grows(spark, sf_dir, documents):
+    """On 10,000 documents: labelled junk goes, trusted rows stay; the tables' size changes nothing."""
+    large = Path(sf_dir).parent / "sf0.1"
+    docs, labels = (spark.read.parquet(f"{large}/{t}.parquet") for t in ("documents", "labels"))
+    assert quality.bucket_number(documents) == quality.BUCKETS < quality.bucket_number(docs)
+    rows = [(r["quality"], r["toxic"], r["score"]) for r in quality.score(docs, labels).where("not base_failed").join(labels, "doc_id").collect()]
+    junk = [s < quality.THRESHOLD for q, _, s in rows if q == 0]
+    assert len(junk) > 100 and sum(junk) >= 0.99 * len(junk)
+    assert all(s >= quality.THRESHOLD for q, toxic, s in rows if q == 1 and toxic == 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = {r["doc_id"]: r["score"] for r in quality.score(documents, labels).collect()}
+    got = {r["doc_id"]: r["score"] for r in quality.score(documents, labels, block=1 << 13).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], abs_tol=1e-9) for d in want)
+
+
 def test_sharding(spark, odd_docs, no_docs):
     keys = spark.range(4000).select(F.col("id").cast("string").alias("k"))
 
