@@ -10,16 +10,21 @@ share a pattern but not its logic are not.
 A document is contaminated by an item if one alignment covers at least ``NEED`` of its tokens (all but
 two, or all, of a shorter item) and at most CONFLICTS of its slot values are in conflict.
 
+Windows come in two forms. In the one, names are placeholders and at least LITERALS tokens are ordinary. In the
+other only numbers and units are, so that capitals or their absence change nothing and a text all in capitals
+has windows too; it is left out where it would be the same. Windows of numbers and units alone are compared by their values.
+
 The items' window hashes go to the tasks in blocks of at most MOST_HASHES; documents send only windows
 with a hash of the block. All that is gathered for one document and item is bounded by the item's length.
 
 Defined cases: null and empty texts match nothing; items of fewer than WINDOW tokens are one window of
-their size, items with fewer than LITERALS ordinary tokens in every window match nothing; equal rows
+their size; equal rows
 are matched alike, and items of equal text or id are items of their own if their texts differ; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,8 +61,19 @@ def _hashes(words: list[str]) -> np.ndarray:
     return np.sort(next(T.slices(pa.array([" ".join(words)]))).word_hashes())
 
 
+_ODD = re.compile("([" + "".join(c for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x20000)]) if len(c.lower().encode()) != len(c.encode())) + "])")
+"""Letters whose lower case has another number of bytes stay as they are."""
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """Letters of all scripts in lower case; no byte moves."""
+    text = data.tobytes().decode("utf-8", "surrogateescape")
+    text = "".join(x if _ODD.match(x) else x.lower() for x in _ODD.split(text))
+    return np.frombuffer(text.encode("utf-8", "surrogateescape"), np.uint8)
+
+
 class Tokens(T.Slice):
-    """A slice's tokens: ``value`` is a token's hash, ``template`` that of its placeholder or itself, ``slot`` which are placeholders."""
+    """A slice's tokens: ``value`` is a token's hash, ``template`` that of its placeholder or itself, ``slot`` which are placeholders; ``blind`` and ``valued`` are the same without names."""
 
     def __init__(self, s: T.Slice):
         d = s.data
@@ -66,26 +82,40 @@ class Tokens(T.Slice):
             point = ((d == 44) | (d == 46))[1:-1] & digit[:-2] & digit[2:]  # within a number
             run[1:-1] |= point
         super().__init__(s.row, d, s.text_at, ~run)
+        self.data = _lowered(d) if (d > 127).any() else d
         self.value = self.word_hashes(lower=True)
+        self.data = d
         first = d[self.starts] if len(self.starts) else np.empty(0, np.uint8)
         second = d[np.minimum(self.starts + 1, len(d) - 1)] if len(self.starts) else first
         name = _UPPER[first] | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
         number = _DIGIT[first] | np.isin(self.value, _hashes(NUMBERS))
         unit = np.isin(self.value, _hashes(UNITS))
-        self.slot = name | number | unit
+        self.valued = number | unit
+        self.slot = name | self.valued
+        self.blind = np.select([number, unit], [_NUMBER, _UNIT], self.value)
         self.template = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], self.value)
 
-    def found(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and hashes of windows with enough ordinary tokens."""
+    def found(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Starts and hashes of windows, and which tokens are slots; in both forms."""
         at = self.window_starts(size)
-        plain = np.concatenate(([0], np.cumsum(~self.slot)))
-        at = at[2 * (plain[at + size] - plain[at]) >= min(2 * LITERALS, size)]
-        return at, T.seeded(T.windows(self.template, size)[at], size) if len(at) else np.empty(0, np.uint64)
+        if not len(at):
+            return
+
+        def count(of: np.ndarray) -> np.ndarray:
+            total = np.concatenate(([0], np.cumsum(of)))
+            return total[at + size] - total[at]
+
+        enough = 2 * count(~self.slot) >= min(2 * LITERALS, size)
+        yield at[enough], T.seeded(T.windows(self.template, size)[at[enough]], size), self.slot
+        other = ~enough | (count(self.slot & ~self.valued) > 0)
+        some = (count(~self.valued) > 0)[other]
+        at = at[other]
+        yield at, T.seeded(np.where(some, T.windows(self.blind, size)[at], T.windows(self.value, size)[at]), size), self.valued
 
-    def rows(self, at: np.ndarray, h: np.ndarray, size: int, b: pa.RecordBatch) -> pa.RecordBatch:
+    def rows(self, at: np.ndarray, h: np.ndarray, slot: np.ndarray, size: int, b: pa.RecordBatch) -> pa.RecordBatch:
         doc = self.word_doc()[at] if len(at) else np.empty(0, np.int64)
         inside = at[:, None] + np.arange(size)[None, :]
-        slots = np.where(self.slot[inside], (self.value[inside] | np.uint64(1)).view(np.int64), 0)  # 0: no slot
+        slots = np.where(slot[inside], (self.value[inside] | np.uint64(1)).view(np.int64), 0)  # 0: no slot
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * size + 1, size, dtype=np.int32)), pa.array(slots.ravel()))
         own = pa.array(doc + self.row)
         return pa.RecordBatch.from_arrays([b["id"].take(own), b["k"].take(own), pa.array((at - self.word_at[doc]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.diff(self.word_at)[doc].astype(np.int32)), lists], names=["id", "k", "pos", "h", "n_tokens", "slots"])
@@ -99,12 +129,12 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
             for s in T.slices(b["t"]):
                 t = Tokens(s)
                 n = np.diff(t.word_at)
-                at, h = t.found(window)
-                yield t.rows(at, h, window, b)
+                for at, h, slot in t.found(window):
+                    yield t.rows(at, h, slot, window, b)
                 for size in np.unique(n[(n > 0) & (n < window)]).tolist():
-                    at, h = t.found(size)
-                    own = n[t.word_doc()[at]] == size
-                    yield t.rows(at[own], h[own], size, b)
+                    for at, h, slot in t.found(size):
+                        own = n[t.word_doc()[at]] == size
+                        yield t.rows(at[own], h[own], slot, size, b)
 
     return items.select(F.col(item_id).cast("long").alias("id"), row_key(item_id, text).alias("k"), F.col(text).alias("t")).mapInArrow(cut, WINDOWS)
 
@@ -118,11 +148,10 @@ def _document_windows(docs: DataFrame, hashes: np.ndarray, sizes: list[int], doc
             for s in T.slices(b["t"]):
                 t = Tokens(s)
                 for size in sizes:
-                    at, h = t.found(size)
-                    if len(at):
+                    for at, h, slot in t.found(size):
                         near = held.value[np.minimum(np.searchsorted(held.value, h), len(held.value) - 1)] == h
                         if near.any():
-                            yield t.rows(at[near], h[near], size, b)
+                            yield t.rows(at[near], h[near], slot, size, b)
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("k"), F.col(text).alias("t")).mapInArrow(cut, WINDOWS)
 

@@ -28,6 +28,15 @@ def test_slots_must_be_consistent(spark):
     assert set(got) == {(0, 0)}
 
 
+def test_case_changes_nothing(spark):
+    """Whole passages in capitals, in title case and in lower case, also with other numbers; and items in capitals."""
+    other = ITEM.replace("12", "33").replace("150", "170")
+    accents = "la éai éonleeau pour an éonqueê aivi ai éenaitreoiaux éoiré anvitre èenreré le ñ жук"
+    assert set(found(spark, [accents.upper(), "İİ " + accents.title()], [accents])) == {(0, 0), (1, 0)}
+    texts = [ITEM.upper(), ITEM.title(), ITEM.lower(), other.upper(), "NOTHING OF IT IN CAPITALS THAT GO ON AND ON FOR MORE THAN THIRTEEN WORDS"]
+    assert set(found(spark, texts, [ITEM, ITEM.upper()])) == {(d, i) for d in range(4) for i in range(2)}
+
+
 def test_short_items_and_parts(spark):
     words = ITEM.split()
     got = found(spark, [f"so {SHORT} then", "so how many legs", "a " + " ".join(words[:16]) + " b", "a " + " ".join(words[:9]) + " b"], [ITEM, SHORT])
