@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +27,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_written: list[str] = []
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes the rows to the shared folder and reads them back: the lineage is cut and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _written.remove(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        if (path := _places.pop(t, None)) in _written:
+            _delete(t.sparkSession, [path])
+
+
+def stored_alone(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` gives, stored; the tables that were stored on the way to it are deleted."""
+    first = len(_written)
+    out = stored(build(), name)
+    _delete(out.sparkSession, _written[first:-1])
+    return out
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that are left. Results are read from them, so write those first."""
+    _delete(spark, list(_written))
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -42,6 +78,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def text_id(text: str = "text") -> Column:
+    """128 bits of the text; null for null."""
+    return F.unhex(F.md5(F.col(text)))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that the rows do not have yet."""
     taken = {c.lower() for c in df.columns}

@@ -111,12 +111,9 @@ class Pieces:
         return raw, np.concatenate(([0], np.cumsum(self.raw_size[ids])))[at]
 
 
-def hashes(chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    up, down = T._power_tables(T._BASE, len(chars) + 1)
-    total = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * up[: len(chars)], out=total[1:])
-    a, b = starts[:-1], starts[1:]
-    return T.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+def distinct(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the units that stand for all, and for each unit which of those is equal to it, character by character."""
+    return T.distinct_runs(np.ascontiguousarray(chars, "<u4").view(np.uint8), 4 * starts[:-1], 4 * starts[1:])
 
 
 class Lattices:

@@ -91,11 +91,7 @@ def _dup_lines(s: T.Slice) -> np.ndarray:
     starts, ends = cut[full], ends[full]
     if not len(starts):
         return np.zeros(s.n, np.int64)
-    # bytes of a line weighed by their place in it; the byte after a line is never in its sum
-    up, down = T._power_tables(T._BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((s.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = T.mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    h = T.run_hashes(s.data, starts, ends)
     said = np.searchsorted(s.starts, ends) > np.searchsorted(s.starts, starts)
     doc = np.searchsorted(s.text_at, starts, side="right") - 1
     h, doc = h[said], doc[said]

@@ -127,17 +127,19 @@ SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0)
   sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_filter(w, lambda x, j: NOT list_contains(g, j)), ' ') END) AS kept_sha256
 FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id""",
     "op8_line_windows": """
-WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, unnest(range(1, len(l) - 1)) AS i, l FROM lines WHERE len(l) >= 3),
+WITH d AS MATERIALIZED (
+  SELECT doc_id, text, md5(text) AS h, row_number() OVER () AS r, row_number() OVER (PARTITION BY doc_id, text) AS copy FROM documents),
+lines AS (SELECT r, doc_id, h, copy, string_split(text, chr(10)) AS l FROM d WHERE text IS NOT NULL),
+w AS (SELECT r, doc_id, h, copy, unnest(range(1, len(l) - 1)) AS i, l FROM lines WHERE len(l) >= 3),
 seen AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY l[i], l[i + 1], l[i + 2] ORDER BY doc_id NULLS FIRST, i) AS n
-  FROM w WHERE trim(l[i] || l[i + 1] || l[i + 2]) <> ''),
-gone AS (SELECT doc_id, list(DISTINCT p) AS g FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM seen WHERE n > 1) GROUP BY doc_id)
+  SELECT r, i, row_number() OVER (PARTITION BY l[i], l[i + 1], l[i + 2] ORDER BY doc_id NULLS FIRST, h, copy, i) AS n
+  FROM w WHERE regexp_matches(l[i] || l[i + 1] || l[i + 2], '[^ \\t-\\r]')),
+gone AS (SELECT r, list(DISTINCT p) AS g FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM seen WHERE n > 1) GROUP BY r)
 SELECT d.doc_id, CAST(CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS BIGINT) AS n_lines,
   CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN g IS NULL THEN coalesce(d.text, '') ELSE
     array_to_string(list_filter(string_split(d.text, chr(10)), lambda x, j: NOT list_contains(g, j)), chr(10)) END) AS kept_sha256
-FROM documents d LEFT JOIN gone ON d.doc_id = gone.doc_id""",
+FROM d LEFT JOIN gone ON d.r = gone.r""",
 }
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from shardloom.llm import textops as T
 from shardloom.llm.common import row_key
-from shardloom.llm.pieces import Lattices, Pieces, hashes
+from shardloom.llm.pieces import Lattices, Pieces, distinct
 from shardloom.llm.units import spread
 
 SAMPLES = 2
@@ -82,8 +82,8 @@ class Search:
 
     def __init__(self, p: Pieces, s: T.Slice, keys: np.ndarray, k: int):
         chars, starts, self.text_unit = p.units(s)
-        distinct, where, back = np.unique(hashes(chars, starts), return_index=True, return_inverse=True)
-        self.n, self.keys, self.back = s.n, keys, back
+        where, self.back = distinct(chars, starts)
+        self.n, self.keys = s.n, keys
         self.left = np.full(s.n, -np.inf)
         self.found: list[tuple[np.ndarray, Paths | None]] = []
         self.regions: list[list[tuple]] = [[] for _ in range(s.n)]
@@ -92,8 +92,8 @@ class Search:
             return
         self.lattices = Lattices(p, chars, starts[where], starts[where + 1])
         size = np.diff(self.text_unit)
-        del chars, starts, distinct, where
-        number = np.arange(len(back)) - np.repeat(self.text_unit[:-1], size)
+        del chars, starts, where
+        number = np.arange(len(self.back)) - np.repeat(self.text_unit[:-1], size)
         self.unit_key = T.mix(np.repeat(keys, size) + number.astype(np.uint64) * _UNIT)
         self._run(k)
 

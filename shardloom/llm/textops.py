@@ -14,12 +14,15 @@ import pyarrow as pa
 SLICE_BYTES = 2 << 20
 """Texts are worked on in slices of about this many bytes, to bound a task's memory."""
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_PAIR = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """The 64-bit finaliser of splitmix64."""
@@ -42,35 +45,94 @@ def unit_interval(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    if n:
-        out[0] = 1
-        out[1:] = base & _MASK
-        np.multiply.accumulate(out, out=out)
-    return out
+def combined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in their order."""
+    return mix(a * np.uint64(_PAIR) + b)
 
 
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def windows(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n values that start at each position; only the first len(h) - n + 1 are given.
 
+    Windows of 1, 2, 4, ... values are mixed from two of half the size, and n from those of its binary digits. Nothing is a
+    polynomial, so no pattern of the values makes two windows meet.
+    """
+    count = len(h) - n + 1
+    if count <= 0:
+        return np.empty(0, np.uint64)
+    out, at, size = None, 0, 1
+    while True:
+        if n & size:
+            own = h[at : at + count]
+            out = own if out is None else combined(out, own)
+            at += size
+        size *= 2
+        if size > n:
+            return mix(out + np.uint64(n))
+        h = combined(h[: -(size // 2)], h[size // 2 :])
+
+
+def _chunks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes as 64-bit numbers of eight bytes each, filled up with zeros: the numbers, each one's place in its run, and each run's first."""
+    lens = ends - starts
+    count = np.maximum((lens + 7) >> 3, 1)
+    first = np.cumsum(count) - count
+    if len(data) < 8 or len(starts) == 0:
+        held = np.zeros(8, np.uint8)
+        held[: len(data)] = data
+        data = held
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    at = np.repeat(starts, count) + 8 * place
+    left = np.minimum(np.repeat(ends, count) - at, 8)
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)) if data.flags.c_contiguous else np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+    late = np.maximum(at - (len(data) - 8), 0)  # the last bytes are read with what is before them
+    back = np.minimum(late, 8).astype(np.uint64) << np.uint64(3)
+    found = words[np.minimum(at, len(data) - 8)]
+    found = np.where(late > 7, np.uint64(0), found >> np.minimum(back, np.uint64(63)))
+    keep = np.where(left <= 0, np.uint64(0), ~np.uint64(0) >> (np.uint64(64) - (np.maximum(left, 1).astype(np.uint64) << np.uint64(3))))
+    return found & keep, place, first
+
+
+def _hashed(chunks: np.ndarray, place: np.ndarray, first: np.ndarray, lens: np.ndarray, seed: int) -> np.ndarray:
+    key = np.uint64((seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & _MASK)
+    own = mix(chunks + mix(place.astype(np.uint64) + key))
+    if len(chunks) > len(first):
+        own = np.add.reduceat(own, first)
+    return mix(own + lens.astype(np.uint64) * np.uint64(_PAIR))
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of bytes. Every eight bytes are mixed with their place before they are added up; each seed gives another hash."""
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    return _hashed(*_chunks(data, starts, ends), ends - starts, seed)
 
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64, at least n of each."""
-    held = _tables.get(base)
-    if held is None or len(held[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        held = _tables[base] = (powers(base, size), powers(pow(base, -1, 1 << 64), size))
-    return held
 
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of runs of bytes that stand for all, and for each run which of those is equal to it.
 
-def windows(h: np.ndarray, n: int, base: int = 0xC2B2AE3D27D4EB4F) -> np.ndarray:
-    """A hash of the n values that start at each position; only the first len(h) - n + 1 are given."""
-    if len(h) < n:
-        return np.empty(0, np.uint64)
-    up, down = _power_tables(base, len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[n:] - total[:-n]) * down[: len(h) - n + 1])
+    Runs are found by their hashes and compared byte by byte. A run whose hash meets another's stands for itself.
+    """
+    if not len(starts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    chunks, place, first = _chunks(data, starts, ends)
+    lens = ends - starts
+    _, where, back = np.unique(_hashed(chunks, place, first, lens, 0), return_index=True, return_inverse=True)
+    there = where[back]
+    other = lens[there] != lens
+    if len(chunks) > len(first):
+        long = np.diff(np.append(first, len(chunks)))
+        own = np.flatnonzero((long > 1) & ~other)
+        other |= chunks[first] != chunks[first[there]]
+        if len(own):
+            n = long[own]
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            unlike = chunks[np.repeat(first[own], n) + inside] != chunks[np.repeat(first[there[own]], n) + inside]
+            other[own] |= np.logical_or.reduceat(unlike, np.cumsum(n) - n)
+    else:
+        other |= chunks != chunks[there]
+    odd = np.flatnonzero(other)
+    back[odd] = len(where) + np.arange(len(odd))
+    return np.concatenate((where, odd)), back
 
 
 class Slice:
@@ -104,20 +166,12 @@ class Slice:
         self.starts, self.ends = starts, ends
         self.word_at = np.searchsorted(starts, text_at)
 
-    def word_hashes(self, lower: bool = False) -> np.ndarray:
+    def word_hashes(self, lower: bool = False, seed: int = 0) -> np.ndarray:
         """A 64-bit hash of each word's bytes, ASCII lower-cased on demand."""
-        if not len(self.starts):
-            return np.empty(0, np.uint64)
-        keep = self.data[~self.space]
+        d = self.data
         if lower:
-            keep = np.where((keep >= 65) & (keep <= 90), keep + 32, keep)
-        lens = self.ends - self.starts
-        at = np.concatenate(([0], np.cumsum(lens)[:-1]))
-        table, _ = _power_tables(_BASE, int(lens.max()) + 1)
-        rel = np.arange(len(keep)) - np.repeat(at, lens)
-        parts = table[rel]
-        parts *= keep.astype(np.uint64) + np.uint64(1)
-        return mix(np.add.reduceat(parts, at) + lens.astype(np.uint64))
+            d = _LOWER[d]
+        return run_hashes(d, self.starts, self.ends, seed)
 
     def word_doc(self) -> np.ndarray:
         """The text (0..n-1) of each word."""

@@ -4,12 +4,15 @@ Tokenizers with the usual byte-level pattern (contractions, `` ?letters``, `` ?d
 white space) split every text before they merge. A new part always starts at a single space or a
 single line feed between two visible characters, and at ASCII punctuation after a letter, so a text
 may be cut there and its cuts encoded apart. Strings of added tokens are never cut. A batch of texts
-has few distinct cuts; each is encoded once and the results are put together with numpy. The ids are
-those of the whole text.
+has few distinct cuts; each is encoded once and the results are put together with numpy. Cuts are found equal
+by a hash and then compared byte by byte, and the store of a worker is keyed by their bytes. The ids are those of the whole text.
+
+Vocabulary files with another pattern, a normalizer or added tokens that take spaces in are not cut: each text is one unit.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -74,15 +77,6 @@ def cuts(s: T.Slice, whole: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndar
     return starts, np.searchsorted(starts, s.text_at)
 
 
-def unit_hashes(s: T.Slice, starts: np.ndarray) -> np.ndarray:
-    n = len(s.data)
-    up, down = T._power_tables(T._BASE, n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((s.data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    a, b = starts[:-1], starts[1:]
-    return T.mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-
-
 def spread(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The runs values[at[w]:at[w + 1]] for w in which, one after the other."""
     lens = at[which + 1] - at[which]
@@ -93,21 +87,24 @@ def spread(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
 
 
 class UnitEncoder:
-    """ids of texts by way of their distinct units. encode: a list of strings to a list of id lists."""
+    """ids of texts by way of their distinct units. encode: a list of strings to a list of id lists; n_ids: one more than the greatest id.
+
+    cut: may texts be cut, or are they units as they are.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], whole: tuple[bytes, ...] = ()):
-        self.encode, self.whole = encode, whole
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], n_ids: int, whole: tuple[bytes, ...] = (), cut: bool = True):
+        self.encode, self.n_ids, self.whole, self.cut = encode, n_ids, whole, cut
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.at = np.zeros(1 << 16, np.int64)
 
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        found = self.encode(texts)
+    def _add(self, new: list[bytes]) -> None:
+        found = self.encode([t.decode() for t in new])
         first, n = len(self.known), len(found)
-        self.known.update(zip(hashes, range(first, first + n), strict=True))
+        self.known.update(zip(new, range(first, first + n), strict=True))
         ends = self.at[first] + np.cumsum(np.fromiter(map(len, found), np.int64, n))
         while first + n >= len(self.at):
             self.at = np.concatenate((self.at, np.zeros_like(self.at)))
@@ -118,20 +115,18 @@ class UnitEncoder:
 
     def units(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
         """The store's number of every unit, and each text's first unit (one more than texts)."""
-        starts, text_unit = cuts(s, self.whole)
+        starts, text_unit = cuts(s, self.whole) if self.cut else (s.text_at, np.arange(s.n + 1))
         if len(starts) < 2:
             return np.empty(0, np.int64), text_unit
         if len(self.known) > MOST_HELD:
             self.clear()
-        distinct, where, back = np.unique(unit_hashes(s, starts), return_index=True, return_inverse=True)
-        hashes = distinct.tolist()
-        new = [i for i, h in enumerate(hashes) if h not in self.known]
-        if new:
-            data = s.data.tobytes()
-            a, b = starts[where].tolist(), starts[where + 1].tolist()
-            self._add([hashes[i] for i in new], [data[a[i] : b[i]].decode() for i in new])
-        get = self.known.__getitem__
-        return np.fromiter(map(get, hashes), np.int64, len(hashes))[back], text_unit
+        where, back = T.distinct_runs(s.data, starts[:-1], starts[1:])
+        data = s.data.tobytes()
+        runs = [data[a:b] for a, b in zip(starts[where].tolist(), starts[where + 1].tolist(), strict=True)]
+        known = self.known
+        if new := [r for r in dict.fromkeys(runs) if r not in known]:
+            self._add(new)
+        return np.fromiter(map(known.__getitem__, runs), np.int64, len(runs))[back], text_unit
 
     def encoded(self, s: T.Slice) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and where each text's begin (one more than texts)."""
@@ -155,12 +150,30 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+# Fixed value: the pattern that the cuts fit; byte-level tokenizers use it unless they name another.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def may_be_cut(spec: dict) -> bool:
+    """Does a vocabulary file (as JSON) split texts by the pattern, byte by byte, without changing them before."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    free = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in spec.get("added_tokens") or [])
+    byte_level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    return bool(byte_level and plain and free and model.get("type", "BPE") == "BPE" and not spec.get("normalizer"))
+
+
 def bpe_file(path: str) -> UnitEncoder:
     """By the tokenizers library, without special tokens added. Units of one word go straight to its model."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     held = Tokenizer.from_file(path)
+    n_ids = max(held.get_vocab(with_added_tokens=True).values(), default=0) + 1
+    with open(path, encoding="utf-8") as f:
+        cut = may_be_cut(json.load(f))
+    if not cut:
+        return UnitEncoder(lambda texts: [e.ids for e in held.encode_batch_fast(texts, add_special_tokens=False)], n_ids, cut=False)
     added = tuple(t.content for t in held.get_added_tokens_decoder().values())
     letters, model = _byte_letters(), held.model
     word = _WORD.fullmatch if not any(map(_WORD.fullmatch, added)) else lambda t: _WORD.fullmatch(t) and not any(a in t for a in added)
@@ -177,7 +190,7 @@ def bpe_file(path: str) -> UnitEncoder:
             out[i] = e.ids
         return out
 
-    return UnitEncoder(encode, tuple(a.encode() for a in added))
+    return UnitEncoder(encode, n_ids, tuple(a.encode() for a in added))
 
 
 def rank_file(path: str, pattern: str) -> UnitEncoder:
@@ -189,4 +202,4 @@ def rank_file(path: str, pattern: str) -> UnitEncoder:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     held = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return UnitEncoder(lambda texts: [held.encode_ordinary(t) for t in texts])
+    return UnitEncoder(lambda texts: [held.encode_ordinary(t) for t in texts], max(ranks.values()) + 1, cut=pattern == PATTERN)
