@@ -11,8 +11,9 @@ The index has each document's frame offset, number of ids and doc_id, so that on
 read with two reads. Ranges follow from quantiles of doc_id; rows of one heavy doc_id are spread over
 the ranges that its quantiles cover, by a hash of the text, which is their order within the doc_id.
 
-Texts are encoded where they are read and only frames are shuffled, once. Files are written under a
-name of the attempt and moved, so a task that runs twice does no harm.
+Texts are encoded where they are read and only frames are shuffled, once. A task writes the documents of one range, to several
+files one after the other where they are many. Files are written under a name of the attempt and moved, so a task that runs twice does no harm.
+The list of files is a table; the driver sees none of it.
 
 Defined cases: null and empty texts are the end id alone; a null doc_id comes before all others; equal
 rows are written as often as they occur; an empty table gives no file and no rows; other columns of
@@ -32,11 +33,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardloom.llm import textops as T
 from shardloom.llm import units
-from shardloom.llm.common import shared_dir, text_bytes
+from shardloom.llm.common import shared_dir, stored, text_bytes
 
 MAGIC = b"SLZIDS01"
 DICT_BYTES = 32 << 10
@@ -44,8 +46,9 @@ SAMPLE_DOCS = 512
 SAMPLE_TEXT_BYTES = 64 << 10
 """The dictionary is trained on at most SAMPLE_DOCS documents, none with a text of more bytes than this."""
 FILE_TEXT_BYTES = 64 << 20
-MOST_FILES = 20_000
-"""A file holds FILE_TEXT_BYTES of text, or more where there would be more files than this; the driver lists them."""
+"""A file holds about so many bytes of text."""
+MOST_RANGES = 20_000
+"""Ranges, and so tasks that write. Beyond so many files a range has several."""
 LEVEL = 3
 _INDEX = np.dtype([("offset", "<u8"), ("n_ids", "<u4"), ("null", "<u4"), ("doc_id", "<i8")])
 _FOOTER = np.dtype([("index_at", "<u8"), ("n_docs", "<u8"), ("n_ids", "<u8")])
@@ -86,16 +89,21 @@ def _zdict(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def id_bounds(docs: DataFrame, files: int) -> np.ndarray:
-    """Upper bounds of doc_id of all files but the last; a heavy id may be several of them."""
-    if files < 2:
+def id_width(vocabulary: str, end_id: int) -> int:
+    """Bytes of an id: two if all ids fit in them, else four."""
+    return 2 if max(encoder(vocabulary).n_ids, end_id + 1) <= 1 << 16 else 4
+
+
+def id_bounds(docs: DataFrame, ranges: int) -> np.ndarray:
+    """Upper bounds of doc_id of all ranges but the last; a heavy id may be several of them."""
+    if ranges < 2:
         return np.empty(0, np.int64)
-    found = docs.agg(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 20 * files)).first()[0]
+    found = docs.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
     return np.array(found or [], np.int64)
 
 
 def frames(docs: DataFrame, vocabulary: str, bounds: np.ndarray, dictionary: bytes, width: int, end_id: int) -> DataFrame:
-    """file, doc_id, h, n_ids, frame of every document."""
+    """range, doc_id, h, n_ids, frame of every document."""
     held = docs.sparkSession.sparkContext.broadcast((bounds, dictionary))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,52 +115,59 @@ def frames(docs: DataFrame, vocabulary: str, bounds: np.ndarray, dictionary: byt
             h = b["h"].to_numpy()
             low, high = np.searchsorted(bounds, doc_id, "left"), np.searchsorted(bounds, doc_id, "right")
             u = T.unit_interval(h.view(np.uint64) ^ np.uint64(1 << 63))  # rises with h as a signed number
-            file = np.where(high > low, low + (u * (high - low + 1)).astype(np.int64), low).astype(np.int32)
+            own_range = np.where(high > low, low + (u * (high - low + 1)).astype(np.int64), low).astype(np.int32)
             for s in T.slices(b["text"]):
                 ids, at = own.encoded(s)
                 ids = ids.astype(f"<u{width}")
                 end = np.array([end_id], f"<u{width}").tobytes()
                 out = [press.compress(ids[at[i] : at[i + 1]].tobytes() + end) for i in range(s.n)]
                 rows = slice(s.row, s.row + s.n)
-                yield pa.RecordBatch.from_arrays([pa.array(file[rows]), b["doc_id"].slice(s.row, s.n), pa.array(h[rows]), pa.array((np.diff(at) + 1).astype(np.int32)), pa.array(out, pa.binary())], names=["file", "doc_id", "h", "n_ids", "frame"])
+                yield pa.RecordBatch.from_arrays([pa.array(own_range[rows]), b["doc_id"].slice(s.row, s.n), pa.array(h[rows]), pa.array((np.diff(at) + 1).astype(np.int32)), pa.array(out, pa.binary())], names=["range", "doc_id", "h", "n_ids", "frame"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
-    return rows.mapInArrow(encode, "file int, doc_id long, h long, n_ids int, frame binary")
+    return rows.mapInArrow(encode, "range int, doc_id long, h long, n_ids int, frame binary")
 
 
 class _File:
     """Writes one file as its documents come."""
 
-    def __init__(self, fs: pafs.FileSystem, folder: str, number: int, head: bytes):
-        self.fs, self.path = fs, f"{folder}/part-{number:06d}.slz"
+    def __init__(self, fs: pafs.FileSystem, folder: str, own_range: int, number: int, head: bytes):
+        self.fs, self.path = fs, f"{folder}/part-{own_range:05d}-{number:05d}.slz"
         self.temporary = f"{folder}/.{uuid.uuid4().hex}"
         self.out = fs.open_output_stream(self.temporary)
         self.out.write(head)
-        self.at, self.index = len(head), []
+        self.at, self.index, self.n_ids = len(head), [], 0
 
     def add(self, doc_id: int | None, n_ids: int, frame: bytes) -> None:
         self.out.write(frame)
         self.index.append((self.at, n_ids, doc_id is None, doc_id or 0))
         self.at += len(frame)
+        self.n_ids += n_ids
 
-    def close(self) -> tuple[int, int]:
+    def close(self) -> tuple[str, int, int]:
         index = np.array(self.index, _INDEX)
-        n_ids = int(index["n_ids"].sum(dtype=np.int64))
         self.out.write(index.tobytes())
-        self.out.write(np.array([(self.at, len(index), n_ids)], _FOOTER).tobytes())
+        self.out.write(np.array([(self.at, len(index), self.n_ids)], _FOOTER).tobytes())
         self.out.close()
         self.fs.move(self.temporary, self.path)
-        return len(index), n_ids
+        return self.path, len(index), self.n_ids
+
+
+MANIFEST = "range int, number int, path string, n_docs long, n_ids long"
 
 
-def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, width: int = 2, file_text_bytes: int = FILE_TEXT_BYTES) -> DataFrame:
+def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, width: int | None = None, file_text_bytes: int = FILE_TEXT_BYTES, most_ranges: int = MOST_RANGES) -> DataFrame:
     """Writes all documents and returns the manifest: file, path, n_docs, n_ids, first (ids in the files before).
 
-    The manifest has a row for each file, which holds about ``file_text_bytes`` of text.
+    The manifest has a row for each file, which holds about ``file_text_bytes`` of text, counted as two bytes an id where a range goes on in another file.
+    width: bytes of an id; by default the least that the vocabulary allows.
     """
-    spark = docs.sparkSession
-    files = min(MOST_FILES, max(1, -(-text_bytes(docs) // file_text_bytes)))
-    bounds = id_bounds(docs, files)
+    least = id_width(vocabulary, end_id)
+    width = width or least
+    if width not in (2, 4) or width < least:
+        raise ValueError(f"ids of this vocabulary don't fit in {width} bytes")
+    ranges = min(most_ranges, max(1, -(-text_bytes(docs) // file_text_bytes)))
+    bounds = id_bounds(docs, ranges)
     dictionary = train(docs, vocabulary, width, end_id)
     head = MAGIC + hashlib.sha256(dictionary).digest() + bytes([width])
     fs, local = file_system(folder)
@@ -162,25 +177,34 @@ def write(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 0, width:
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, local = file_system(folder)
-        number, held, done = None, None, []
+        at, held, done = (-1, 0), None, []
         for b in batches:
-            for file, doc_id, n_ids, frame in zip(*(b[c].to_pylist() for c in ("file", "doc_id", "n_ids", "frame")), strict=True):
-                if file != number:
-                    if held:
-                        done.append((number, held.path, *held.close()))
-                    number, held = file, _File(fs, local, file, head)
+            for own, doc_id, n_ids, frame in zip(*(b[c].to_pylist() for c in ("range", "doc_id", "n_ids", "frame")), strict=True):
+                if held and (own != at[0] or 2 * held.n_ids >= file_text_bytes):
+                    done.append((*at, *held.close()))
+                    held = None
+                if not held:
+                    at = (own, at[1] + 1 if own == at[0] else 0)
+                    held = _File(fs, local, *at, head)
                 held.add(doc_id, n_ids, frame)
         if held:
-            done.append((number, held.path, *held.close()))
-        yield pa.RecordBatch.from_pylist([dict(zip(("file", "path", "n_docs", "n_ids"), d, strict=True)) for d in done], pa.schema([("file", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            done.append((*at, *held.close()))
+        columns = zip(*done, strict=True) if done else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["range", "number", "path", "n_docs", "n_ids"])
 
     rows = frames(docs, vocabulary, bounds, dictionary, width, end_id)
-    sorted_rows = rows.repartitionById(files, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "h")
-    manifest, first, listed = sorted_rows.mapInArrow(save, "file int, path string, n_docs long, n_ids long").collect(), 0, []
-    for file, path, n_docs, n_ids in sorted(manifest):
-        listed.append((file, path, n_docs, n_ids, first))
-        first += n_ids
-    return spark.createDataFrame(listed, "file int, path string, n_docs long, n_ids long, first long")
+    sorted_rows = rows.repartitionById(ranges, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "h")
+    return numbered(stored(sorted_rows.mapInArrow(save, MANIFEST), "manifest"))
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """The files with their number and the ids in the files before: sums over the ranges, at most MOST_RANGES rows, and then within each."""
+    by_range = files.groupBy("range").agg(F.sum("n_ids").alias("ids"), F.count("*").alias("files"))
+    all_before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = by_range.select("range", *[F.coalesce(F.sum(c).over(all_before), F.lit(0)).alias(f"{c}_before") for c in ("ids", "files")])
+    inside = W.partitionBy("range").orderBy("number").rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("ids_before") + F.coalesce(F.sum("n_ids").over(inside), F.lit(0))
+    return files.join(before, "range").select((F.col("files_before") + F.col("number")).cast("int").alias("file"), "path", "n_docs", "n_ids", first.alias("first"))
 
 
 class Reader:
@@ -240,8 +264,8 @@ def read(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame:
                 doc_id = pa.array(r.index["doc_id"], mask=r.index["null"] != 0)
                 yield pa.RecordBatch.from_arrays([doc_id, pa.array(start), pa.array(n), pa.array(found), pa.array(np.full(len(n), file, np.int32)), pa.array(np.arange(len(n)))], names=["doc_id", "start", "n_tokens", "ids_crc32", "file", "place"])
 
-    files = (manifest.agg(F.max("file")).first()[0] or 0) + 1
-    return manifest.repartitionById(files, "file").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, file int, place long")
+    tasks = min(MOST_RANGES, (manifest.agg(F.max("file")).first()[0] or 0) + 1)
+    return manifest.repartitionById(tasks, F.col("file") % tasks).mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, file int, place long")
 
 
 def write_and_read(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
