@@ -51,7 +51,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts under two tokenizer versions, one of them sent twice, and a revision that counts an end id too."""
+    """Inserts under two tokenizer versions, one of them sent twice, a revision that counts an end id too, German documents withdrawn
+    from the second version, and French ones moved to the language ``fra``."""
     import public_tokenizers
 
     versions = {v: vocabulary(f"{v}.tiktoken") for v in ("byte_bpe_50k", "byte_bpe_multi_50k")}
@@ -60,8 +61,9 @@ def op7_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     for v in versions:
         ledger.commit(f"load {v}", token_counts.insert(counts, v))
     ledger.commit("load byte_bpe_50k", token_counts.insert(counts, "byte_bpe_50k"))
-    revised = token_counts.insert(counts, "byte_bpe_50k").withColumns({"op": F.lit("revise"), "old_tokens": F.col("n_tokens"), "n_tokens": F.col("n_tokens") + 1})
-    ledger.commit("count the end id", revised)
+    ledger.commit("count the end id", token_counts.revise(counts, "byte_bpe_50k", F.col("byte_bpe_50k") + 1))
+    ledger.commit("withdraw", token_counts.delete(counts.where("lang = 'de'"), "byte_bpe_multi_50k"))
+    ledger.commit("relabel", token_counts.move(counts.where("lang = 'fr'"), "byte_bpe_multi_50k", lang=F.lit("fra")))
     return ledger.totals()
 
 
@@ -151,16 +153,16 @@ def _licence_sql() -> str:
 WITH templates(n, licence, body) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS k, doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
 tt AS (SELECT n, licence, term, count(*) AS c FROM (SELECT n, licence, unnest({split.format('body')}) AS term FROM templates) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT k, unnest({split.format('text')}) AS term FROM d) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT k, unnest({split.format('text')}) AS term FROM d) GROUP BY term),
 total AS (SELECT count(*) AS docs FROM documents),
-idf AS (SELECT term, ln((docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), total),
+idf AS (SELECT term, ln((docs + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM tt UNION SELECT term FROM df) LEFT JOIN df USING (term), total),
 tv AS (SELECT n, licence, term, c * idf / sqrt(sum(c * idf * c * idf) OVER (PARTITION BY n)) AS w FROM tt JOIN idf USING (term)),
 u AS (
   SELECT k, 'line' AS kind, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS p FROM d
   UNION ALL SELECT k, 'paragraph', unnest(range(len(regexp_split_to_array(text, '\n[ \t]*\n')))), unnest(regexp_split_to_array(text, '\n[ \t]*\n')) FROM d
   UNION ALL SELECT k, 'text', 0, text FROM d),
 tf AS (SELECT k, kind, i, term, count(*) AS tf FROM (SELECT k, kind, i, unnest({split.format('p')}) AS term FROM u WHERE kind <> 'paragraph' OR contains(trim(p), chr(10))) GROUP BY ALL),
-weighed AS (SELECT tf.*, tf * coalesce(idf, ln(docs + 1) + 1) AS w FROM tf LEFT JOIN idf USING (term), total),
+weighed AS (SELECT tf.*, tf * idf AS w FROM tf JOIN idf USING (term)),
 norms AS (SELECT k, kind, i, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
 cosines AS (
   SELECT k, kind, i, n, licence, round(sum(a.w * b.w) / any_value(norm), 9) AS cosine FROM weighed a JOIN tv b USING (term) JOIN norms USING (k, kind, i) GROUP BY k, kind, i, n, licence),

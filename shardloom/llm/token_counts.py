@@ -1,9 +1,9 @@
 """Token counts as delta-maintained rollups.
 
 Totals of documents and tokens by source, language and tokenizer version are kept as a ledger of
-batches. A batch is a feed of changes: ``insert`` (a document's count comes in), ``delete`` (it goes)
-and ``revise`` (its count changes). A change is worth a signed number of documents and of tokens; a
-batch is stored as the sums of these by key, in a folder of its own, and totals are the sums over all
+batches. A batch is a feed of changes: ``insert`` (a document's count comes in), ``delete`` (it goes),
+``revise`` (its count changes) and ``move`` (its source or language changes, and perhaps its count). A change is worth a signed number of documents and of tokens
+for one key, and a move for two; a batch is stored as the sums of these by key, in a folder of its own, and totals are the sums over all
 batches. Sums are additive, so order and grouping of batches do not matter.
 
 A batch is committed once: its folder's ``_SUCCESS`` is the commit. A batch id that is already there is
@@ -21,7 +21,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm import textops as T
@@ -53,23 +53,50 @@ def count(docs: DataFrame, versions: dict[str, str], pattern: str) -> DataFrame:
     return rows.select("doc_id", "source", "lang", *[F.get("counts", F.lit(i)).alias(v) for i, v in enumerate(versions)])
 
 
+FEED = ["op", "doc_id", *KEYS, "n_tokens", "old_source", "old_lang", "old_tokens"]
+
+
+def _feed(counts: DataFrame, version: str, op: str, **columns: Column) -> DataFrame:
+    none = {"n_tokens": F.lit(None).cast("long"), "old_source": F.lit(None).cast("string"), "old_lang": F.lit(None).cast("string"), "old_tokens": F.lit(None).cast("long")}
+    return counts.withColumns({"op": F.lit(op), "tokenizer_version": F.lit(version), **none, **columns}).select(*FEED)
+
+
 def insert(counts: DataFrame, version: str) -> DataFrame:
     """A feed that brings in the counts of a version."""
-    return counts.select(F.lit("insert").alias("op"), "doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), F.col(version).alias("n_tokens"), F.lit(None).cast("long").alias("old_tokens"))
+    return _feed(counts, version, "insert", n_tokens=F.col(version))
+
+
+def delete(counts: DataFrame, version: str) -> DataFrame:
+    """A feed that takes out these documents' counts of a version."""
+    return _feed(counts, version, "delete", old_tokens=F.col(version))
+
+
+def revise(counts: DataFrame, version: str, n_tokens: Column) -> DataFrame:
+    """A feed that changes the counts of a version."""
+    return _feed(counts, version, "revise", n_tokens=n_tokens, old_tokens=F.col(version))
+
+
+def move(counts: DataFrame, version: str, source: Column | None = None, lang: Column | None = None) -> DataFrame:
+    """A feed that brings the documents under another source or language."""
+    own = {"source": F.col("source") if source is None else source, "lang": F.col("lang") if lang is None else lang}
+    return _feed(counts, version, "move", n_tokens=F.col(version), old_tokens=F.col(version), old_source=F.col("source"), old_lang=F.col("lang"), **own)
 
 
 def deltas(changes: DataFrame) -> DataFrame:
-    """The signed sums of a feed with op, source, lang, tokenizer_version, n_tokens, old_tokens.
+    """The signed sums of a feed with op, source, lang, tokenizer_version, n_tokens, old_tokens and, if it has moves, old_source and old_lang.
 
-    A deleted document's tokens are in ``old_tokens``.
+    A deleted document's tokens are in ``old_tokens``, its key is in source and lang.
     """
     new, old = F.coalesce("n_tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
-    signed = {"insert": (1, new), "delete": (-1, -old), "revise": (0, new - old)}
-    docs = tokens = F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce("op", F.lit("null")))).cast("long")
-    for op, (n, delta) in signed.items():
-        docs = F.when(F.col("op") == op, F.lit(n)).otherwise(docs)
-        tokens = F.when(F.col("op") == op, delta).otherwise(tokens)
-    return changes.groupBy(*KEYS).agg(F.sum(docs).alias("n_docs"), F.sum(tokens).alias("n_tokens"))
+
+    def worth(docs: int, tokens: Column, source: str = "source", lang: str = "lang") -> Column:
+        there = [F.col(c) if c in changes.columns else F.lit(None).cast("string") for c in (source, lang)]
+        return F.struct(there[0].alias("source"), there[1].alias("lang"), F.lit(docs).cast("long").alias("n_docs"), tokens.cast("long").alias("n_tokens"))
+
+    signed = {"insert": [worth(1, new)], "delete": [worth(-1, -old)], "revise": [worth(0, new - old)], "move": [worth(1, new), worth(-1, -old, "old_source", "old_lang")]}
+    unknown = F.raise_error(F.concat(F.lit("unknown operation: "), F.coalesce("op", F.lit("null"))))
+    parts = F.coalesce(*[F.when(F.col("op") == op, F.array(*p)) for op, p in signed.items()], F.when(unknown.isNotNull(), F.array(*signed["insert"])))
+    return changes.select("tokenizer_version", F.inline(parts)).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
 
 class Ledger:
