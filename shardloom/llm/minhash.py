@@ -287,18 +287,24 @@ def _open_pairs(members: DataFrame, texts: DataFrame, found: DataFrame, similari
     return x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & possible).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
-    """doc_id, key, class_id and class_key for every row."""
+def _named(docs: DataFrame, doc_id: str, text: str, **parameters) -> DataFrame:
+    """doc_id, key, class_key of every row: the key of its class, or its own."""
     found = classes(docs, text, **parameters)
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("key"))
-    named = stored(rows.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("class_key")), "named")
+    return stored(rows.join(found.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("class_key")), "named")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
+    """doc_id, key, class_id and class_key for every row."""
+    named = _named(docs, doc_id, text, **parameters)
     least = stored(named.groupBy("class_key").agg(F.min("doc_id").alias("class_id")), "least")
     return named.join(least, "class_key").select("doc_id", "key", "class_id", "class_key")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The rows of ``docs`` without all but the first of every class: least doc_id, then least text; of equal rows one stays."""
-    named = near_duplicates(docs, doc_id, text, **parameters)
+    named = _named(docs, doc_id, text, **parameters)
+    # each task sends the first row that it has of a class
     first = stored(named.groupBy("class_key").agg(F.min_by(F.struct("doc_id", "key"), F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("_first_id"), F.col("f.key").alias("_first_key")), "firsts")
     key = fresh(docs, "_key")
     own = docs.withColumn(key, text_key(text))
