@@ -1,7 +1,7 @@
 """License scans (native expressions only): sparse TF-IDF cosine to templates, then inheritance by directories.
 
-Terms are runs of ASCII letters and digits in lower case. Document frequencies of the templates' terms are
-counted over the whole corpus; a term of no template has the weight of a term that was never seen. Lines,
+Terms are runs of ASCII letters and digits in lower case. The document frequencies of all terms are
+counted over the whole corpus, into a table. Lines,
 paragraphs and whole texts are compared with every template. A line or paragraph of at least THRESHOLD is a
 header and gives the file its licence. A whole text of at least THRESHOLD, or a file with a licence's usual
 name and such a line or paragraph, is a licence file and gives its directory one. A file without a header
@@ -76,19 +76,18 @@ def _list(values: list[str]) -> Column:
     return F.split(F.lit(" ".join(values)), " ")
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of documents, and in how many of them each of the templates' terms occurs."""
-    found = docs.select(F.explode(F.array_append(F.array_intersect(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")), _list(VOCABULARY)), F.lit(""))).alias("term"))
-    counts = {r["term"]: r["n"] for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each of the templates' terms at most
-    return counts.pop("", 0), counts
+def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """term, df of all terms, and the number of documents under the empty term."""
+    own = F.array_distinct(F.coalesce(terms(F.col(text)), F.array().cast("array<string>")))
+    return docs.select(F.explode(F.array_append(own, F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 class Model:
-    """Weights of the terms, unit vectors of the templates, and the strong terms."""
+    """Weights of the templates' terms, unit vectors of the templates, and the strong terms."""
 
     def __init__(self, n: int, df: dict[str, int], threshold: float = THRESHOLD):
+        self.n = n
         self.idf = {t: math.log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in VOCABULARY}
-        self.unseen = math.log(n + 1) + 1
         self.vectors = []
         strong: set[str] = set()
         for licence, text in TEMPLATES:
@@ -104,7 +103,13 @@ class Model:
         self.strong = sorted(strong)
 
 
-def cosines(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def model(frequencies: DataFrame, threshold: float = THRESHOLD) -> Model:
+    """From the frequencies of the templates' terms, which are few."""
+    counts = {r["term"]: r["df"] for r in frequencies.where(F.col("term").isin(["", *VOCABULARY])).collect()}
+    return Model(counts.pop("", 0), counts, threshold)
+
+
+def cosines(docs: DataFrame, model: Model, frequencies: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """k, kind (line, paragraph, text), licence, cosine of the best template of every unit of ``docs`` (k, text) that reaches the threshold."""
     spark = docs.sparkSession
     strong = _list(model.strong)
@@ -117,10 +122,10 @@ def cosines(docs: DataFrame, model: Model, text: str = "text", threshold: float
     units = F.concat(numbered("line", F.split("t", "\n")), numbered("paragraph", blocks), numbered("text", F.array("t")))
     cut = own.select("k", F.explode(units).alias("u")).select("k", "u.kind", "u.i", terms(F.col("u.p")).alias("w")).where(F.arrays_overlap("w", strong))
     counted = cut.select("k", "kind", "i", F.explode("w").alias("term")).groupBy("k", "kind", "i", "term").agg(F.count("*").alias("tf"))
-    weights = spark.createDataFrame([(t, w) for t, w in model.idf.items()], "term string, idf double")
     entries = spark.createDataFrame([(t, n, w) for n, (_, v) in enumerate(model.vectors) for t, w in v.items()], "term string, template int, weight double")
-    by_term = weights.join(entries.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("template", "weight"))).alias("by")), "term")
-    weighed = counted.join(F.broadcast(by_term), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(model.unseen)))
+    by_term = entries.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("template", "weight"))).alias("by"))
+    idf = F.log(F.lit(float(model.n + 1)) / (F.col("df") + 1)) + 1
+    weighed = counted.join(F.broadcast(by_term), "term", "left").join(frequencies, "term").withColumn("w", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
     dots = [F.sum(F.col("w") * F.coalesce(F.col("by")[n], F.lit(0.0))).alias(f"d{n}") for n in range(len(model.vectors))]
     sums = weighed.groupBy("k", "kind", "i").agg(norm.alias("norm"), *dots)
@@ -141,9 +146,11 @@ def ancestors(folder: Column) -> Column:
 
 def scan(docs: DataFrame, path: Column, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, licence, scope (header, inherited, none), cosine and from_dir of every row."""
-    keyed = docs.select(F.col(doc_id).alias("doc_id"), path.alias("path"), F.col(text).alias("text")).withColumn("k", F.xxhash64("doc_id", "path", "text"))
-    model = Model(*document_frequencies(docs, text), threshold)
-    units = stored(cosines(keyed, model, "text", threshold), "licence-units")
+    keyed = docs.select(F.col(doc_id).alias("doc_id"), path.alias("path"), F.col(text).alias("text"))
+    halves = [F.lpad(F.hex(F.xxhash64(*c)), 16, "0") for c in (("doc_id", "path", "text"), (F.lit("second"), "text", "path", "doc_id"))]
+    keyed = keyed.withColumn("k", F.unhex(F.concat(*halves)))  # rows equal in all three have equal results
+    frequencies = stored(document_frequencies(docs, text), "licence-frequencies")
+    units = stored(cosines(keyed, model(frequencies, threshold), frequencies, "text", threshold), "licence-units")
     best = F.max(F.struct("cosine", "licence"))
     headers = units.where("kind <> 'text'").groupBy("k").agg(best.alias("h"))
     files = units.where("kind = 'text'").groupBy("k").agg(best.alias("f"))
