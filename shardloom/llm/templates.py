@@ -1,23 +1,27 @@
 """Benchmark decontamination by template canonicalisation.
 
-Tokens are runs of letters and digits; numbers, capitalised names and units become typed placeholders
-and the rest is compared in lower case. Windows of WINDOW template tokens of a document and of a
+Tokens are runs of letters and digits; numbers, capitalised names (but for the most common words) and units become typed placeholders
+and the rest is compared in lower case. A run of numbers is one placeholder, as is a run of names after a sentence's first
+word, so a value of more words changes no positions ("twenty five" for "5", "New York" for "Paris", "3/4" for "2").
+Windows of WINDOW template tokens of a document and of a
 benchmark item that are equal meet by a hash join. Windows of one alignment (document position less item
 position) belong together: the values in their slots have to map onto each other one to one, so a
 question with other numbers or names is found as long as it uses them consistently, and passages that
 share a pattern but not its logic are not.
 
-A document is contaminated by an item if one alignment covers at least ``NEED`` of its tokens (all but
+A document is contaminated by an item if one alignment covers at least ``NEED`` of the item's tokens (all but
 two, or all, of a shorter item) and at most CONFLICTS of its slot values are in conflict.
 
-Windows come in two forms. In the one, names are placeholders and at least LITERALS tokens are ordinary. In the
-other only numbers and units are, so that capitals or their absence change nothing and a text all in capitals
-has windows too; it is left out where it would be the same. Windows of numbers and units alone are compared by their values.
+Texts are read in two forms, which are compared each with its own. In the one, names are placeholders and at least LITERALS
+tokens of a window are ordinary. In the other only numbers and units are, so that capitals or their absence change nothing and a
+text all in capitals has windows too; windows of numbers and units alone are compared by their values. What the second form finds
+doesn't count where the first covers more of the item and its values are in conflict.
 
-The items' window hashes go to the tasks in blocks of at most MOST_HASHES; documents send only windows
-with a hash of the block. All that is gathered for one document and item is bounded by the item's length.
+The corpus is read once. Its windows are first looked up in a bit map of the items' hashes, of BITS bits for each up to MOST_BITS, and
+those that pass are joined with the items, so a map that is too full costs rows but changes nothing. All that is gathered for one
+document and item is bounded by the item's length.
 
-Defined cases: null and empty texts match nothing; items of fewer than WINDOW tokens are one window of
+Defined cases: null and empty texts match nothing; items of fewer than WINDOW template tokens are one window of
 their size; equal rows
 are matched alike, and items of equal text or id are items of their own if their texts differ; empty tables give no rows; other columns are not read.
 """
@@ -40,19 +44,27 @@ LITERALS = 4
 """Ordinary tokens that a window has at least (half of a smaller window)."""
 NEED = 13
 CONFLICTS = 0.1
-MOST_HASHES = 2_000_000
+BITS = 16
+MOST_BITS = 1 << 30
 
-# Words that count as numbers, and words that count as units.
+# Words that count as numbers, as units, and as no name although they start with a capital.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
 UNITS = "km cm mm kg mg lb lbs oz mph inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars cent cents euro euros percent degree degrees".split()
 
+COMMON = "a an the if when while how what which who whose where why and or but so then for to from by with of in on at as is are was were do does did can could will would should has have had i you he she it we they his her its their each every".split()
+
 _NAME, _NUMBER, _UNIT = (np.uint64(x) for x in (0x9AE16A3B2F90404F, 0xC949C7DEFAE1E7A5, 0xB492B66FBE98F273))
-WINDOWS = "id long, k long, pos int, h long, n_tokens int, slots array<long>"
+_LITERAL_KIND, _NUMBER_KIND, _UNIT_KIND, _NAME_KIND = range(4)
+_PLACEHOLDER = np.array([0, _NUMBER, _UNIT, _NAME], np.uint64)
+_PLACE = np.uint64(0xD6E8FEB86659FD93)
+WINDOWS = "id long, k long, form int, size int, pos int, h long, n_tokens int, first int, last int, slots array<long>"
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
+_END = np.zeros(256, bool)
+_END[[ord(c) for c in ".?!:;\n"]] = True
 _RUN = np.zeros(256, bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -73,7 +85,7 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 class Tokens(T.Slice):
-    """A slice's tokens: ``value`` is a token's hash, ``template`` that of its placeholder or itself, ``slot`` which are placeholders; ``blind`` and ``valued`` are the same without names."""
+    """A slice's tokens: ``value`` is the hash of a token in lower case, ``kind`` what it is, ``opens`` which are the first of a sentence."""
 
     def __init__(self, s: T.Slice):
         d = s.data
@@ -88,37 +100,72 @@ class Tokens(T.Slice):
         first = d[self.starts] if len(self.starts) else np.empty(0, np.uint8)
         second = d[np.minimum(self.starts + 1, len(d) - 1)] if len(self.starts) else first
         name = _UPPER[first] | (first == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
+        name &= ~np.isin(self.value, _hashes(COMMON))
         number = _DIGIT[first] | np.isin(self.value, _hashes(NUMBERS))
         unit = np.isin(self.value, _hashes(UNITS))
-        self.valued = number | unit
-        self.slot = name | self.valued
-        self.blind = np.select([number, unit], [_NUMBER, _UNIT], self.value)
-        self.template = np.select([number, unit, name], [_NUMBER, _UNIT, _NAME], self.value)
-
-    def found(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Starts and hashes of windows, and which tokens are slots; in both forms."""
-        at = self.window_starts(size)
+        self.kind = np.select([number, unit, name], [_NUMBER_KIND, _UNIT_KIND, _NAME_KIND], _LITERAL_KIND)
+        ends = np.concatenate(([0], np.cumsum(_END[d])))
+        self.opens = np.ones(len(self.starts), bool)
+        if len(self.starts):
+            self.opens[1:] = ends[self.starts[1:]] > ends[self.ends[:-1]]
+            at = self.word_at[:-1]
+            self.opens[at[at < len(self.starts)]] = True
+
+
+class Form:
+    """Tokens with runs of one kind merged. names: are names placeholders.
+
+    ``head``: each one's first token; ``at``: of each text the first one (one more than texts); ``slot``: the hash of what stands there, 0
+    for an ordinary token; ``template``: that of its placeholder or itself.
+    """
+
+    def __init__(self, t: Tokens, names: bool):
+        self.tokens, self.number = t, int(names)
+        kind = t.kind if names else np.where(t.kind == _NAME_KIND, _LITERAL_KIND, t.kind)
+        goes_on = np.zeros(len(kind), bool)
+        if len(kind):
+            same = (kind[1:] == kind[:-1]) & ~t.opens[1:]
+            goes_on[1:] = same & ((kind[1:] == _NUMBER_KIND) | (kind[1:] == _NAME_KIND) & ~t.opens[:-1])
+        self.head = np.flatnonzero(~goes_on)
+        self.at = np.searchsorted(self.head, t.word_at)
+        self.kind = kind[self.head]
+        place = np.arange(len(kind)) - np.repeat(self.head, np.diff(np.append(self.head, len(kind))))
+        value = np.add.reduceat(T.mix(t.value + place.astype(np.uint64) * _PLACE), self.head) if len(kind) else t.value
+        self.value = value
+        self.slot = np.where(self.kind == _LITERAL_KIND, np.uint64(0), value | np.uint64(1))
+        self.template = np.where(self.kind == _LITERAL_KIND, value, _PLACEHOLDER[self.kind])
+
+    def found(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of windows."""
+        at = T.starts_of(self.at, size)
         if not len(at):
-            return
-
-        def count(of: np.ndarray) -> np.ndarray:
-            total = np.concatenate(([0], np.cumsum(of)))
-            return total[at + size] - total[at]
-
-        enough = 2 * count(~self.slot) >= min(2 * LITERALS, size)
-        yield at[enough], T.seeded(T.windows(self.template, size)[at[enough]], size), self.slot
-        other = ~enough | (count(self.slot & ~self.valued) > 0)
-        some = (count(~self.valued) > 0)[other]
-        at = at[other]
-        yield at, T.seeded(np.where(some, T.windows(self.blind, size)[at], T.windows(self.value, size)[at]), size), self.valued
-
-    def rows(self, at: np.ndarray, h: np.ndarray, slot: np.ndarray, size: int, b: pa.RecordBatch) -> pa.RecordBatch:
-        doc = self.word_doc()[at] if len(at) else np.empty(0, np.int64)
-        inside = at[:, None] + np.arange(size)[None, :]
-        slots = np.where(slot[inside], (self.value[inside] | np.uint64(1)).view(np.int64), 0)  # 0: no slot
+            return at, np.empty(0, np.uint64)
+        literals = np.concatenate(([0], np.cumsum(self.kind == _LITERAL_KIND)))
+        n = literals[at + size] - literals[at]
+        if self.number:
+            at = at[2 * n >= min(2 * LITERALS, size)]
+            h = T.windows(self.template, size)[at]
+        else:
+            h = np.where(n > 0, T.windows(self.template, size)[at], T.windows(self.value, size)[at])
+        return at, T.seeded(h, 2 * size + self.number)
+
+    def rows(self, at: np.ndarray, h: np.ndarray, size: int, b: pa.RecordBatch) -> pa.RecordBatch:
+        t = self.tokens
+        doc = np.searchsorted(self.at, at, side="right") - 1
+        slots = self.slot[at[:, None] + np.arange(size)[None, :]].view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * size + 1, size, dtype=np.int32)), pa.array(slots.ravel()))
-        own = pa.array(doc + self.row)
-        return pa.RecordBatch.from_arrays([b["id"].take(own), b["k"].take(own), pa.array((at - self.word_at[doc]).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(np.diff(self.word_at)[doc].astype(np.int32)), lists], names=["id", "k", "pos", "h", "n_tokens", "slots"])
+        own, ends = pa.array(doc + t.row), np.append(self.head, len(t.starts))
+        columns = [np.full(len(at), self.number), np.full(len(at), size), at - self.at[doc]]
+        more = [np.diff(t.word_at)[doc], self.head[at] - t.word_at[doc], ends[at + size] - 1 - t.word_at[doc]]
+        return pa.RecordBatch.from_arrays(
+            [b["id"].take(own), b["k"].take(own), *(pa.array(c.astype(np.int32)) for c in columns), pa.array(h.view(np.int64)), *(pa.array(c.astype(np.int32)) for c in more), lists],
+            names=["id", "k", "form", "size", "pos", "h", "n_tokens", "first", "last", "slots"],
+        )
+
+
+def _forms(s: T.Slice) -> list[Form]:
+    t = Tokens(s)
+    return [Form(t, names) for names in (False, True)]
 
 
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -127,67 +174,74 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in T.slices(b["t"]):
-                t = Tokens(s)
-                n = np.diff(t.word_at)
-                for at, h, slot in t.found(window):
-                    yield t.rows(at, h, slot, window, b)
-                for size in np.unique(n[(n > 0) & (n < window)]).tolist():
-                    for at, h, slot in t.found(size):
-                        own = n[t.word_doc()[at]] == size
-                        yield t.rows(at[own], h[own], slot, size, b)
+                for f in _forms(s):
+                    n = np.diff(f.at)
+                    for size in (window, *np.unique(n[(n > 0) & (n < window)]).tolist()):
+                        at, h = f.found(size)
+                        if size < window:
+                            own = n[np.searchsorted(f.at, at, side="right") - 1] == size
+                            at, h = at[own], h[own]
+                        yield f.rows(at, h, size, b)
 
     return items.select(F.col(item_id).cast("long").alias("id"), row_key(item_id, text).alias("k"), F.col(text).alias("t")).mapInArrow(cut, WINDOWS)
 
 
-def _document_windows(docs: DataFrame, hashes: np.ndarray, sizes: list[int], doc_id: str, text: str) -> DataFrame:
-    """The documents' windows with one of the hashes (sorted)."""
-    held = docs.sparkSession.sparkContext.broadcast(hashes)
+def bit_map(windows: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Which hashes, modulo the number of bits, the windows have: at least BITS bits for each, and at most ``most_bits`` in all."""
+    bits = min(most_bits, max(1 << 10, 1 << (BITS * windows.count()).bit_length()))
+    spot = F.col("h").bitwiseAND(bits - 1)
+    words = windows.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("x"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["x"]
+    return out.view(np.uint8)
+
+
+def _document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int, int]], doc_id: str, text: str) -> DataFrame:
+    """The documents' windows whose hashes may be among the items'."""
+    held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = held.value
         for b in batches:
             for s in T.slices(b["t"]):
-                t = Tokens(s)
-                for size in sizes:
-                    for at, h, slot in t.found(size):
-                        near = held.value[np.minimum(np.searchsorted(held.value, h), len(held.value) - 1)] == h
-                        if near.any():
-                            yield t.rows(at[near], h[near], slot, size, b)
+                forms = _forms(s)
+                for form, size in sizes:
+                    at, h = forms[form].found(size)
+                    spot = h & np.uint64(8 * len(bits) - 1)
+                    near = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    if near.any():
+                        yield forms[form].rows(at[near], h[near], size, b)
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), row_key(doc_id, text).alias("k"), F.col(text).alias("t")).mapInArrow(cut, WINDOWS)
 
 
-def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_hashes: int = MOST_HASHES) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """doc_id, _k (the row's key), item_id, and of the best alignment n_covered, n_tokens (of the item), n_slots and n_changed (slot
     values, and those that differ) for each document and item that contaminates it."""
     own = stored(item_windows(items.dropDuplicates([item_id, item_text]), item_id, item_text), "item-windows")
-    sizes = [r[0] for r in own.select(F.size("slots")).distinct().collect()]  # at most WINDOW sizes
-    blocks = max(1, -(-own.count() // most_hashes))
-    block = F.pmod("h", F.lit(blocks))
-    found = None
-    for b in range(blocks):
-        here = own.where(block == b)
-        hashes = np.sort(np.array([r[0] for r in here.select("h").distinct().collect()], np.int64).view(np.uint64))  # about MOST_HASHES at most
-        if len(hashes):
-            one = _document_windows(docs, hashes, sizes, doc_id, text)
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, _k long, item_id long, n_covered int, n_tokens int, n_slots int, n_changed int")
+    sizes = sorted(map(tuple, own.select("form", "size").distinct().collect()))  # at most WINDOW sizes in two forms
+    found = _document_windows(docs, bit_map(own, most_bits), sizes, doc_id, text)
     d, i = found.alias("d"), own.alias("i")
-    met = d.join(i, F.col("d.h") == F.col("i.h"))
+    met = d.join(i, (F.col("d.h") == F.col("i.h")) & (F.col("d.form") == F.col("i.form")) & (F.col("d.size") == F.col("i.size")))
     pairs = F.filter(F.arrays_zip(F.col("i.slots").alias("x"), F.col("d.slots").alias("y")), lambda p: p["x"] != 0)
-    spots = F.sequence(F.col("i.pos"), F.col("i.pos") + F.size("i.slots") - 1)
-    each = met.select(F.col("d.id").alias("doc_id"), F.col("d.k").alias("_k"), F.col("i.id").alias("item_id"), F.col("i.k").alias("_i"), F.col("i.n_tokens").alias("n_tokens"), (F.col("d.pos") - F.col("i.pos")).alias("shift"), spots.alias("spots"), pairs.alias("pairs"))
-    aligned = each.groupBy("doc_id", "_k", "item_id", "_i", "n_tokens", "shift").agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    spots = F.sequence(F.col("i.first"), F.col("i.last"))
+    keys = ["doc_id", "_k", "item_id", "_i", "n_tokens", "form", "shift"]
+    each = met.select(F.col("d.id").alias("doc_id"), F.col("d.k").alias("_k"), F.col("i.id").alias("item_id"), F.col("i.k").alias("_i"), F.col("i.n_tokens").alias("n_tokens"), F.col("i.form").alias("form"), (F.col("d.pos") - F.col("i.pos")).alias("shift"), spots.alias("spots"), pairs.alias("pairs"))
+    aligned = each.groupBy(*keys).agg(F.array_distinct(F.flatten(F.collect_set("spots"))).alias("spots"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
 
     def distinct(side: str):
         return F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
 
     need = F.when(F.col("n_tokens") >= NEED, F.least(F.lit(NEED), F.col("n_tokens"))).when(F.col("n_tokens") - 2 >= WINDOW, F.col("n_tokens") - 2).otherwise(F.col("n_tokens"))
     conflicts = 2 * F.size("pairs") - distinct("x") - distinct("y")
-    kept = aligned.where((F.size("spots") >= need) & (conflicts <= 2 * CONFLICTS * F.size("pairs")))
+    consistent, covered = conflicts <= 2 * CONFLICTS * F.size("pairs"), F.size("spots")
     changed = F.size(F.filter("pairs", lambda p: p["x"] != p["y"]))
-    best = F.max(F.struct(F.size("spots").alias("n_covered"), (-changed).alias("same"), F.size("pairs").alias("n_slots"), "n_tokens"))
-    out = kept.groupBy("doc_id", "_k", "item_id").agg(best.alias("b"))
+    best = F.when(consistent & (covered >= need), F.struct(covered.alias("n_covered"), (-changed).alias("same"), F.size("pairs").alias("n_slots"), "n_tokens"))
+    named, blind, refuted = F.max(F.when(F.col("form") == 1, best)), F.max(F.when(F.col("form") == 0, best)), F.max(F.when((F.col("form") == 1) & ~consistent, covered))
+    judged = aligned.groupBy("doc_id", "_k", "item_id", "_i").agg(named.alias("named"), blind.alias("blind"), F.coalesce(refuted, F.lit(0)).alias("refuted"))
+    chosen = F.greatest("named", F.when(F.col("blind.n_covered") >= F.col("refuted"), F.col("blind")))
+    out = judged.withColumn("b", chosen).where("b is not null").groupBy("doc_id", "_k", "item_id").agg(F.max("b").alias("b"))
     return out.select("doc_id", "_k", "item_id", "b.n_covered", "b.n_tokens", "b.n_slots", (-F.col("b.same")).alias("n_changed"))
 
 

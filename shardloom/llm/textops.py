@@ -179,11 +179,16 @@ class Slice:
 
     def window_starts(self, n: int) -> np.ndarray:
         """Indexes of the words at which n words of one text start."""
-        total = len(self.starts)
-        if total < n:
-            return np.empty(0, np.int64)
-        left = np.repeat(self.word_at[1:], np.diff(self.word_at))[: total - n + 1]
-        return np.flatnonzero(np.arange(total - n + 1) + n <= left)
+        return starts_of(self.word_at, n)
+
+
+def starts_of(at: np.ndarray, n: int) -> np.ndarray:
+    """Indexes at which n entries of one text start, where the entries of text t are at[t] to at[t + 1]."""
+    total = int(at[-1])
+    if total < n:
+        return np.empty(0, np.int64)
+    left = np.repeat(at[1:], np.diff(at))[: total - n + 1]
+    return np.flatnonzero(np.arange(total - n + 1) + n <= left)
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Slice]:
