@@ -1,11 +1,18 @@
-"""A corpus pipeline: five stages, each of which works on all rows that the one before has kept."""
+"""A corpus pipeline: five stages, each of which works on all rows that the one before has kept.
+
+Defined cases: null and empty texts fail the first stage's base rules and go; an empty table stays empty through all stages;
+of rows equal in doc_id and text one stays, as they are one class of near-duplicates; rows of one doc_id with other texts are judged
+apart; columns besides doc_id, text and n_chars pass through the first four stages whatever their names, and the last one has its own columns.
+
+A stage's own tables are deleted when its result is written, and its input when the next one's is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from shardloom.llm import line_dedup, minhash, quality, segmentation, templates
-from shardloom.llm.common import stored, table
+from shardloom.llm.common import forget, stored_alone, table
 from shardloom.llm.queries import vocabulary
 
 
@@ -49,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{i}-{name.replace(' ', '-')}")
-    return docs
+        if i + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        before, docs = docs, stored_alone(lambda: stage(spark, docs, sf_dir), f"stage-{i}-{name.replace(' ', '-')}")  # noqa: B023
+        forget(before)

@@ -120,6 +120,53 @@ def test_ledger(spark, tmp_path):
     assert not ledger.committed("bad")
 
 
+def test_moves(spark, tmp_path):
+    counts = spark.createDataFrame([(1, "a", "fr", 10), (2, "a", "fr", 5), (3, None, "en", 2)], "doc_id long, source string, lang string, v long")
+    ledger = C.Ledger(spark, f"file://{tmp_path}/ledger")
+    ledger.commit("in", C.insert(counts, "v"))
+    ledger.commit("move", C.move(counts.where("doc_id = 1"), "v", lang=F.lit("fra")))
+    ledger.commit("source", C.move(counts.where("doc_id = 3"), "v", source=F.lit("b")))
+    ledger.commit("out", C.delete(counts.where("doc_id = 2"), "v"))
+    got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()}
+    assert got == {("a", "fr"): (0, 0), ("a", "fra"): (1, 10), (None, "en"): (0, 0), ("b", "en"): (1, 2)}
+
+
+def test_the_query_against_the_library(spark, sf_dir, documents):
+    """All rows of the rollup, from tiktoken on whole texts."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from shardloom.llm import queries as Q
+
+    want: dict = {}
+
+    def add(key, docs, tokens):
+        n, m = want.get(key, (0, 0))
+        want[key] = n + docs, m + tokens
+
+    for version in ("byte_bpe_50k", "byte_bpe_multi_50k"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(vocabulary(f"{version}.tiktoken"), "rb"))}
+        whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for r in documents.collect():
+            n = len(whole.encode_ordinary(r["text"] or ""))
+            multi = version == "byte_bpe_multi_50k"
+            add((r["source"], r["lang"], version), *((0, 0) if multi and r["lang"] in ("de", "fr") else (1, n + (not multi))))
+            if multi and r["lang"] == "fr":
+                add((r["source"], "fra", version), 1, n)
+    got = {(r["source"], r["lang"], r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in Q.op7_token_rollups(spark, sf_dir).collect()}
+    assert got == want
+
+
+def test_ranges_of_several_files(spark, documents, plain, tmp_path):
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    folder = f"file://{tmp_path}/files"
+    manifest = O.write(documents, vocabulary("byte_bpe_50k.json"), folder, file_text_bytes=20_000, most_ranges=2)
+    assert manifest.count() > 4
+    check(O.read(spark, manifest, folder).collect(), rows, plain)
+
+
 def test_a_broken_batch_is_written_anew(spark, tmp_path):
     ledger = C.Ledger(spark, f"file://{tmp_path}/ledger")
     rows = feed(spark, [("insert", 1, "a", "en", "v", 10, None)])
