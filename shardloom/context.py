@@ -12,14 +12,18 @@ UNSHARDED = "unsharded"
 _current: ContextVar[Mapping[str, int]] = ContextVar("shards", default={})
 
 
-class NoSuchShard(LookupError):
-    """A query on a shard that the catalog doesn't have; ``shards`` has what was active."""
+class WithShards(Exception):
+    """An error that knows which shards were active."""
 
-    def __init__(self, message: str):
-        super().__init__(message)
+    def __init__(self, *args: object):
+        super().__init__(*args)
         self.shards = dict(_current.get())
 
 
+class NoSuchShard(WithShards, LookupError):
+    """A query on a shard that the catalog doesn't have."""
+
+
 def current(vertical: str = BASE, default: int = 1) -> int:
     return _current.get().get(vertical, default)
 

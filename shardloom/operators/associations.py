@@ -41,10 +41,17 @@ def belongs_to(children: DataFrame, parents: DataFrame, fk: str, pk: str = "id",
 
 
 def has_many(owners: DataFrame, children: DataFrame, fk: str, pk: str = "id", shards: str | None = None, how: str = "inner") -> DataFrame:
-    """Each owner with its children on its own shard, or on all shards of its array column ``shards``."""
+    """Each owner with its children on its own shard, or on all shards of its array column ``shards`` (none if that is null or empty).
+
+    ``how="left"`` has each owner without any child once.
+    """
     own = owners.withColumn("_gid", gid(pk))
-    own = own.withColumn("_on", F.explode(F.array_distinct(shards)) if shards else ids.shard_for(F.col(pk), F.col(SHARD)).cast("int"))
     kids = children.withColumn("_fk", gid(fk))
+    if shards:  # children that are where their owner's shards are, and then owners with these
+        places = own.select("_gid", F.explode(F.array_distinct(shards)).alias("_on"))
+        kids = kids.join(places, (F.col(SHARD) == F.col("_on")) & (F.col("_fk") == F.col("_gid")), "left_semi")
+        return own.alias("owner").join(kids.alias("child"), F.col("owner._gid") == F.col("child._fk"), how)
+    own = own.withColumn("_on", ids.shard_for(F.col(pk), F.col(SHARD)).cast("int"))
     return own.alias("owner").join(kids.alias("child"), (F.col("owner._on") == F.col(f"child.{SHARD}")) & (F.col("owner._gid") == F.col("child._fk")), how)
 
 
@@ -64,13 +71,22 @@ def through(owners: DataFrame, middle: DataFrame, target: DataFrame, fk: str, ta
 
 
 def polymorphic(rows: DataFrame, fk: str, kind: str, targets: dict[str, DataFrame], columns: dict[str, str]) -> DataFrame:
-    """Rows with the global id of their owner and a column of it: one join for each type, then together."""
-    out = None
-    for name, parents in targets.items():
-        own = parents.where(canonical()).select(gid("id").alias("_gid"), F.col(columns[name]).cast("string").alias("owner_value"))
-        one = rows.where(F.col(kind) == name).withColumn("_fk", gid(fk)).join(own, F.col("_fk") == F.col("_gid"), "left").drop("_gid")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All rows with the global id of their owner and a column of it, which is null where the type is null, is not listed, or has no such owner.
+
+    One join: owners of all types together, by type and global id.
+    """
+    parents = None
+    for name, found in targets.items():
+        own = found.where(canonical()).select(F.lit(name).alias("_kind"), gid("id").alias("_gid"), F.col(columns[name]).cast("string").alias("owner_value"))
+        parents = own if parents is None else parents.unionByName(own)
+    keyed = rows.withColumn("_fk", gid(fk))
+    return keyed.join(parents, (F.col(kind) == F.col("_kind")) & (F.col("_fk") == F.col("_gid")), "left").drop("_kind", "_gid")
+
+
+def pinned(a: DataFrame, b: DataFrame, shard: int, a_column: str, b_column: str, how: str = "inner", names: tuple[str, str] = ("a", "b")) -> DataFrame:
+    """Rows of any shard with rows of one shard, by stored values: what a join means whose table was named for that shard."""
+    x, y = names
+    return a.alias(x).join(b.where(F.col(SHARD) == shard).alias(y), F.col(f"{x}.{a_column}") == F.col(f"{y}.{b_column}"), how)
 
 
 def to_unsharded(rows: DataFrame, unsharded: DataFrame, fk: str, pk: str = "id", how: str = "inner") -> DataFrame:

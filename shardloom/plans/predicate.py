@@ -20,6 +20,9 @@ from shardloom.context import current
 from shardloom.functions import ids
 from shardloom.registry import SHARD, Model, key_vertical
 
+MOST_BRANCHES = 32
+"""Conditions whose keys belong to more shards of the query than this are written once in global ids instead of for each shard."""
+
 
 @dataclass(frozen=True)
 class Raw:
@@ -59,6 +62,10 @@ class Condition:
         """The shards of the keys if this names rows by their primary keys."""
         return None
 
+    def semis(self) -> list[Semi]:
+        """The sub-queries in it."""
+        return []
+
     def __and__(self, other: Condition) -> Condition:
         return Both(and_, (self, other))
 
@@ -77,6 +84,9 @@ class Both(Condition):
     def column(self, shards: Sequence[int]) -> Column:
         return reduce(self.how, (p.column(shards) for p in self.parts))
 
+    def semis(self) -> list[Semi]:
+        return [s for p in self.parts for s in p.semis()]
+
 
 @dataclass(frozen=True)
 class Not(Condition):
@@ -85,6 +95,30 @@ class Not(Condition):
     def column(self, shards: Sequence[int]) -> Column:
         return ~self.part.column(shards)
 
+    def semis(self) -> list[Semi]:
+        return self.part.semis()
+
+
+@dataclass(frozen=True, eq=False)
+class Semi(Condition):
+    """Is there a row of another query with equal values within the shard. ``on``: pairs of own and other columns; ``null_aware``: as IN and
+    NOT IN treat nulls. The query puts what it finds into the column ``mark``: true, false, or null for an unknown IN."""
+
+    inner: object
+    on: tuple[tuple[str, str], ...]
+    negated: bool
+    null_aware: bool
+
+    @property
+    def mark(self) -> str:
+        return f"_semi{id(self)}"
+
+    def column(self, shards: Sequence[int]) -> Column:
+        return ~F.col(self.mark) if self.negated else F.col(self.mark)
+
+    def semis(self) -> list[Semi]:
+        return [self]
+
 
 @dataclass(frozen=True)
 class Sql(Condition):
@@ -128,12 +162,26 @@ class Compare(Condition):
         if not any(isinstance(v, Key) for v in self.values):
             return test(F.col(self.name), list(self.values))
         own = self.primary and self.op == "in" and len(shards) > 1
+        keys = [v for v in self.values if isinstance(v, Key)]
+        owners = {k.owner for k in keys}
+        mine, rest = [s for s in shards if s in owners], [s for s in shards if s not in owners]
+        if len(mine) > MOST_BRANCHES and self.op in ("in", "not in") and len(keys) == len(self.values):
+            return self._by_global_ids(keys, mine if own else list(shards))
         out = F.lit(False)
-        for s in shards:
+        for s in mine:
             here = [v.on(s) if isinstance(v, Key) else v for v in self.values if not own or not isinstance(v, Key) or v.owner == s]
-            if here:
-                out = out | ((F.col(SHARD) == s) & test(F.col(self.name), here))
-        return out
+            out = out | ((F.col(SHARD) == s) & test(F.col(self.name), here))
+        there = [v.on(0) if isinstance(v, Key) else v for v in self.values if not own or not isinstance(v, Key)]  # on all other shards a key is global
+        return out | (F.col(SHARD).isin(rest) & test(F.col(self.name), there)) if rest and there else out
+
+    def _by_global_ids(self, keys: list[Key], shards: list[int]) -> Column:
+        """One list of global ids, whatever the number of shards; stored values are compared before, so that they still reach the scan."""
+        stored = F.col(self.name)
+        found = ids.global_id(stored, F.col(SHARD)).isin(sorted({ids.join(k.owner, k.local) for k in keys}))
+        here = F.col(SHARD).isin(shards)
+        if self.op == "not in":
+            return here & ~found
+        return here & stored.isin(sorted({x for k in keys for x in (k.local, ids.join(k.owner, k.local))})) & found
 
 
 def compare(m: Model, catalog: Catalog, column: str, value: object, op: str | None = None) -> Condition:

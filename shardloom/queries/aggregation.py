@@ -242,3 +242,35 @@ r(batch, first_id) AS (
 SELECT batch, first_id, first_id + 1000 AS last_id FROM r WHERE first_id IS NOT NULL""")
 def id_ranges_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return on(spark, sf_dir, "orders").id_ranges_loose(1000)
+
+
+@query(f"SELECT round(sum(o_totalprice), 2) AS total, max(id) AS last FROM (SELECT o_totalprice, {rel('o_orderkey', 1)} AS id FROM orders ORDER BY id DESC LIMIT 300 OFFSET 11)")
+def limit_ordered_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates over rows that are ordered and limited as they are read."""
+    q = orders(spark, sf_dir).order("id", descending=True).offset(11).limit(300)
+    return q.aggregate(F.round(F.sum("totalprice"), 2).alias("total"), F.max("id").alias("last"))
+
+
+@query("SELECT count(DISTINCT o_custkey) AS n FROM orders")
+def distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orders(spark, sf_dir).distinct().count(column="customer_id")
+
+
+@query("SELECT CAST(sum(DISTINCT l_quantity) AS DOUBLE) AS sum, round(avg(DISTINCT l_quantity), 6) AS average FROM lineitem")
+def distinct_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = on(spark, sf_dir, "lineitem").all_shards().distinct()
+    both = q.sum("quantity").crossJoin(q.average("quantity"))  # a row each
+    return both.select(F.col("sum").cast("double").alias("sum"), F.round("average", 6).alias("average"))
+
+
+@query(f"SELECT {C1} AS customer_id, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 12 OFFSET 3")
+def group_query_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query's own order and limit are those of its groups."""
+    q = orders(spark, sf_dir).order("n", descending=True).order("customer_id").offset(3).limit(12)
+    return q.group("customer_id").aggregate(F.count("*").alias("n"))
+
+
+@query("SELECT place FROM (VALUES (0, 9), (1, -7), (2, 900000001), (3, 4)) k(place, key) WHERE key NOT IN (SELECT c_custkey FROM customer)")
+def find_many_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of keys without a record, text that is no id among them."""
+    return on(spark, sf_dir, "customer").missing([key(9), "no id", key(900_000_001), key(4)])

@@ -215,3 +215,50 @@ def non_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(SHADOW + "id >= 10000000000000")
 def shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shadows(spark, sf_dir).where(associations.shadow()).select("k", F.col(SHARD).alias("shard"), "id")
+
+
+_LOCAL_ORDER = f"{sh('o.o_orderkey')} = {sh('c.c_custkey')}"
+
+
+@query(f"""
+SELECT {rel('c_custkey', 1)} AS id, c_name AS name FROM customer c
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND {_LOCAL_ORDER} AND o.o_totalprice > 450000) AND c_acctbal > 0
+  OR NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND {_LOCAL_ORDER})""")
+def either_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sub-queries on both sides of an OR."""
+    c, o = on(spark, sf_dir, "customer").all_shards(), on(spark, sf_dir, "orders")
+    a = c.exists(o.where("totalprice > 450000"), ("id", "customer_id")).where("acctbal > 0")
+    return a.either(c.exists(o, ("id", "customer_id"), negated=True)).read("id", "name")
+
+
+@query(f"""
+SELECT {rel('c_custkey', 1)} AS id, c_name AS name FROM customer WHERE c_custkey IN (
+  SELECT o_custkey FROM (
+    SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY {sh('o_orderkey')} ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders)
+  WHERE n BETWEEN 3 AND 60 AND {sh('o_orderkey')} = {sh('o_custkey')})""")
+def in_query_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of the 3rd to the 60th dearest order of each shard."""
+    inner = on(spark, sf_dir, "orders").order("totalprice", descending=True).order("id").offset(2).limit(58)
+    return on(spark, sf_dir, "customer").all_shards().in_query("id", inner, "customer_id").read("id", "name")
+
+
+@query(f"""
+SELECT {rel('c_custkey', 1)} AS id, c_name AS name FROM customer WHERE c_custkey IN (
+  SELECT o_custkey FROM orders WHERE {sh('o_orderkey')} = {sh('o_custkey')} GROUP BY o_custkey HAVING sum(o_totalprice) > 600000)""")
+def in_query_having(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = on(spark, sf_dir, "orders").group("customer_id").having(F.sum("totalprice") > 600000)
+    return on(spark, sf_dir, "customer").all_shards().in_query("id", inner, "customer_id").read("id", "name")
+
+
+@query(_orders(f"{sh('o_orderkey')} IN (1, 2, 3) AND NOT (o_custkey IN (1, 2, 3, 10, 20) AND o_totalprice > 100000)"))
+def where_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = on(spark, sf_dir, "orders").shard(1, 2, 3)
+    return (~q.where(customer_id=[key(k) for k in (1, 2, 3, 10, 20)]).where("totalprice > 100000")).read(*COLUMNS)
+
+
+@query(_orders(f"{sh('o_orderkey')} = 3", 3))
+def unscoped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard is the one that is current when the rows are read."""
+    q = on(spark, sf_dir, "orders").where(status="O").unscoped()
+    with activate(3):
+        return q.read(*COLUMNS)

@@ -167,3 +167,32 @@ def where_assoc_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = _tables(spark, sf_dir, "orders", "customer")
     wanted = c.where("mktsegment = 'MACHINERY' AND acctbal > 5000").select(A.gid("id").alias("_gid"))
     return o.withColumn("_fk", A.gid("customer_id")).join(wanted, F.col("_fk") == F.col("_gid"), "left_semi").select(A.gid("id").alias("id"))
+
+
+@query(f"SELECT {gid('c_custkey')} AS customer, CASE WHEN o_orderkey IS NOT NULL THEN {gid('o_orderkey')} END AS id FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND {SEVERAL} AND c_custkey % 5 <> 4 AND c_custkey % 7 <> 0")
+def has_many_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners without children stay once, whether their shards are null, empty, or have none."""
+    o, c = _tables(spark, sf_dir, "orders", "customer")
+    k = F.col("id") - 1
+    shards = F.when(k % 7 == 0, F.array().cast("array<int>")).when(k % 5 != 4, F.col("associated_shards"))
+    met = A.has_many(c.withColumn("associated_shards", shards), o, "customer_id", shards="associated_shards", how="left")
+    return met.select(F.col("owner._gid").alias("customer"), F.when(F.col("child.id").isNotNull(), A.gid("id", "child")).alias("id"))
+
+
+@query(f"""
+SELECT {gid("event_id")} AS id, CASE event_id % 3 WHEN 0 THEN 'Customer' WHEN 1 THEN 'Robot' END AS owner_type, c_name AS owner_value
+FROM events LEFT JOIN customer ON event_id % 6 = 0 AND user_id = c_custkey""")
+def polymorphic_null_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a null or an unlisted type, and rows whose owner isn't a customer, stay without an owner."""
+    c = P.customer(spark, sf_dir)
+    k = F.col("id") - 1
+    f = P.feature(spark, sf_dir, 1).withColumn("owner_type", F.when(k % 3 == 0, "Customer").when(k % 3 == 1, "Robot"))
+    f = f.withColumn("owner_id", F.when(k % 2 == 0, F.col("owner_id")))
+    return A.polymorphic(f, "owner_id", "owner_type", {"Customer": c}, {"Customer": "name"}).select(A.gid("id").alias("id"), "owner_type", "owner_value")
+
+
+@query(f"SELECT {gid('o_orderkey')} AS id, c_name AS name FROM orders JOIN customer ON {rel('o_custkey', sh('o_orderkey'))} = c_custkey + 1 AND {sh('c_custkey')} = 2")
+def join_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join whose table is shard 2's, whatever the shard of the rows."""
+    o, c = _tables(spark, sf_dir, "orders", "customer")
+    return A.pinned(o, c, 2, "customer_id", "id").select(A.gid("id", "a").alias("id"), "b.name")

@@ -91,3 +91,75 @@ def update_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 def delete_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = on(spark, sf_dir, "orders").shard(4).where(customer_id=[key(k) for k in (1, 2, 3)]).deleted()
     return left.groupBy(F.col(SHARD).alias("shard")).agg(F.count("*").alias("n"))
+
+
+NEW_KEYS = [(1, 10.5), (900_000_001, 10.5), (900_000_001, 3.25), (900_000_002, 20.25), (5, 1.5)]
+_NEW = "VALUES " + ", ".join(f"({i}, {t})" for i, t in NEW_KEYS)
+
+
+@query(f"""
+WITH old AS (SELECT {loc("o_orderkey")} AS id, o_totalprice AS totalprice FROM orders WHERE {sh("o_orderkey")} = 1),
+new AS (SELECT id, min(totalprice) AS totalprice FROM ({_NEW}) v(id, totalprice) WHERE id NOT IN (SELECT id FROM old) GROUP BY id)
+SELECT id, totalprice FROM old UNION ALL SELECT id, totalprice FROM new""")
+def insert_all_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose ids exist, or that come twice, are skipped."""
+    new = spark.createDataFrame(NEW_KEYS, "id long, totalprice double")
+    rows = records.incoming(new, ORDERS, 1, 1)
+    return records.insert(P.orders(spark, sf_dir), rows, [SHARD, "id"]).where(F.col(SHARD) == 1).select("id", "totalprice")
+
+
+@query(f"""
+SELECT id, customer_id FROM (VALUES (900000001, {key(6)}), (900000002, 9)) v(id, customer_id)""")
+def insert_all_returning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inserted rows of shard 3, with ids as shard 1 reads them; a row that exists there isn't among them."""
+    new = spark.createDataFrame([(900_000_001, key(6)), (900_000_002, 9), (key(2), 9)], "id long, customer_id long")
+    o = P.orders(spark, sf_dir)
+    rows = records.incoming(new, ORDERS, 1, 3)
+    added = records.new_rows(o, rows, [SHARD, "id"])
+    return records.returned(added, ORDERS, 3, 1, ["id", "customer_id"])
+
+
+@query(f"""
+SELECT {gid("o_orderkey")} AS id, {rel("o_custkey", sh("o_orderkey"))} AS customer_id, o_orderpriority AS priority, CASE WHEN {sh("o_orderkey")} = 2 AND o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS status FROM orders
+UNION ALL SELECT 20000900000001, NULL, NULL, 'N'""")
+def upsert_all_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that name only a status: the other columns of existing orders stay, and a new order has none."""
+    o = P.orders(spark, sf_dir)
+    changed = o.where((F.col(SHARD) == 2) & ((F.col("id") - 1) % 5 == 0)).select(SHARD, "id", F.lit("X").alias("status"))
+    new = spark.createDataFrame([(2, 900_000_001, "N")], f"{SHARD} int, id long, status string")
+    whole = records.upsert(o, changed.unionByName(new), [SHARD, "id"])
+    return whole.select(ids.global_id(F.col("id"), F.col(SHARD)).alias("id"), "customer_id", "priority", "status")
+
+
+BIG = f"EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c_custkey AND {sh('o.o_orderkey')} = {sh('c_custkey')} AND o.o_totalprice > 450000)"
+
+
+def _with_big_orders(spark: SparkSession, sf_dir: str):
+    inner = on(spark, sf_dir, "orders").where("totalprice > 450000")
+    return on(spark, sf_dir, "customer").shard(1, 2, 3).exists(inner, ("id", "customer_id"))
+
+
+@query(f"SELECT {gid('c_custkey')} AS id, c_name AS name FROM customer WHERE NOT ({sh('c_custkey')} IN (1, 2, 3) AND {BIG})")
+def delete_where_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_big_orders(spark, sf_dir).deleted().select(A.gid("id").alias("id"), "name")
+
+
+@query(f"SELECT {gid('c_custkey')} AS id, CASE WHEN {sh('c_custkey')} IN (1, 2, 3) AND {BIG} THEN 'X' ELSE c_mktsegment END AS mktsegment FROM customer")
+def update_where_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_big_orders(spark, sf_dir).updated(mktsegment="X").select(A.gid("id").alias("id"), "mktsegment")
+
+
+@query(f"""
+WITH top AS (SELECT o_orderkey FROM orders WHERE {sh("o_orderkey")} IN (1, 2) AND o_orderstatus = 'P' ORDER BY o_totalprice DESC, {rel("o_orderkey", 1)} LIMIT 7)
+SELECT {gid("o_orderkey")} AS id, CASE WHEN o_orderkey IN (SELECT o_orderkey FROM top) THEN 'X' ELSE o_orderstatus END AS status FROM orders""")
+def update_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = on(spark, sf_dir, "orders").shard(1, 2).where(status="P").order("totalprice", descending=True).order("id").limit(7)
+    return q.updated(status="X").select(A.gid("id").alias("id"), "status")
+
+
+@query(f"""
+SELECT CAST(shard AS INTEGER) AS shard, {rel("k", "shard")} AS id, name FROM (
+  SELECT c_custkey AS k, c_name AS name, unnest(CASE WHEN c_custkey % 3 = 0 THEN [{sh("c_custkey")}, {sh("c_custkey")} % 4 + 1] ELSE [{sh("c_custkey")}] END) AS shard FROM customer)""")
+def partition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer once for each shard that it has data on."""
+    return records.partition_records(P.customer(spark, sf_dir), CUSTOMER, "associated_shards").select("shard", "id", "name")

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from shardloom.context import BASE, UNSHARDED
+from shardloom.functions import ids
 
 SHARD = "_shard_id"
 """The partition column of every sharded table: the shard that holds the row."""
@@ -25,8 +29,17 @@ class Model:
     def sharded(self) -> bool:
         return self.vertical != UNSHARDED
 
-    def __getattr__(self, name: str):
-        raise AttributeError(f"{self.name} has no {name!r}; only key columns have global and local forms")
+    def __getattr__(self, name: str) -> Column:
+        """``global_x``, ``local_x`` and ``original_x`` of a key column ``x``, as columns of the model's rows."""
+        form, _, column = name.partition("_")
+        if name.startswith("_") or form not in FORMS or not (column == self.pk or column in self.keys or column in self.polymorphic):
+            raise AttributeError(f"{self.name} has no {name!r}; only key columns have global and local forms")
+        if not key_vertical(self, column):
+            return F.col(column)
+        return FORMS[form](F.col(column), F.col(SHARD))
+
+
+FORMS = {"global": ids.global_id, "local": lambda x, shard: ids.local_part(x), "original": lambda x, shard: x}
 
 
 MODELS: dict[str, Model] = {}
