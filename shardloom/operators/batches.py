@@ -1,59 +1,55 @@
 """Batches of ids in order: of equal numbers of rows, or greedy ranges of equal width.
 
-Ids are dealt into blocks by bounds that a first pass finds; blocks are worked on in parallel and only a few
-numbers of each reach the driver.
+Ids are dealt into blocks of their order; blocks are worked on in parallel. How blocks continue each other is followed in Spark, by
+groups of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 1_000_000
+from shardloom.operators.ordered import BLOCK_ROWS, blocks, placed
+
+FAN = 128
+"""Blocks that one task follows at a time."""
 
 
-def _dealt(df: DataFrame, block_rows: int) -> DataFrame:
-    """id and block; blocks rise with the id, and equal ids are in one."""
-    blocks = max(1, -(-df.count() // block_rows))
-    ids = df.select("id")
-    if blocks == 1:
-        return ids.withColumn("block", F.lit(0))
-    least = ids.repartitionByRange(blocks, "id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("least")).collect()
-    bounds = np.array(sorted(r["least"] for r in least)[1:])
-    held = df.sparkSession.sparkContext.broadcast(bounds)
+def numbered_batches(df: DataFrame, size: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """batch, first_id and last_id of each run of ``size`` rows in the order of their column ``id`` (numbers or strings)."""
+    rows = placed(df.where("id is not null").select("id"), F.col("id"), block_rows=block_rows)
+    batch = F.call_function("div", F.col("place") - 1, F.lit(size)).alias("batch")
+    return rows.select("id", batch).groupBy("batch").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = np.array(b["id"].to_pylist(), held.value.dtype)
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(np.searchsorted(held.value, own, "right").astype(np.int32))], names=["id", "block"])
 
-    return ids.mapInArrow(deal, f"id {df.schema['id'].dataType.simpleString()}, block int")
+ENTRIES = "block long, top long, entry long, finish long, n long"
 
 
-def numbered_batches(df: DataFrame, size: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """batch, first_id and last_id of each run of ``size`` rows in the order of their column ``id`` (numbers or strings)."""
-    dealt = _dealt(df.where("id is not null"), block_rows)
-    counts = dealt.groupBy("block").agg(F.count("*").alias("n"))  # a row a block
-    before = counts.select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.partitionBy("block").orderBy("id")) - 1
-    placed = dealt.join(before, "block").select("id", F.call_function("div", F.col("before") + inside, F.lit(size)).alias("batch"))
-    return placed.groupBy("batch").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+def _follow(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], low: int | None) -> list[tuple[int, int] | None]:
+    """Through blocks in order, each with its entries, their finishes and numbers of ranges: the entry of each block and the ranges before it, or
+    None for a block that the last range covers; and at the end the last finish and the number of ranges."""
+    out, number = [], 0
+    for entry, finish, n in parts:
+        i = 0 if low is None else int(np.searchsorted(entry, low, "right"))
+        if i < len(entry):
+            out.append((int(entry[i]), number))
+            low, number = int(finish[i]), number + int(n[i])
+        else:
+            out.append(None)
+    return [*out, (low, number)]
 
 
-def greedy_ranges(df: DataFrame, size: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def greedy_ranges(df: DataFrame, size: int, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """batch, first_id, last_id: each range has the width ``size`` and starts at the least id after the one before.
 
-    Where a block's first range starts depends on the block before, but only ids within one width of the
-    block's least id, and the next one, come into question. For each of these a block tells where its last range would end; the
-    driver follows the chain over the blocks, and a second pass writes the ranges.
+    Where a block's first range starts depends on the block before, but only ids within one width of the block's least id, and the
+    next one, come into question: its entries, at most ``size`` + 2. For each of them a block tells where its last range would end. ``fan`` blocks in a row
+    are followed by one task and are a block of the next level, until there is one; then each level tells the one below where its
+    blocks start. Nothing but the number of blocks reaches the driver.
     """
-    spark = df.sparkSession
-    dealt = _dealt(df.where("id is not null").select(F.col("id").cast("long").alias("id")), block_rows)
+    dealt = blocks(df.where("id is not null").select(F.col("id").cast("long").alias("id")), F.col("id"), block_rows=block_rows)
 
     def starts(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.unique(ids)
@@ -66,29 +62,54 @@ def greedy_ranges(df: DataFrame, size: int, block_rows: int = BLOCK_ROWS) -> Dat
             if (k := after[i]) < len(own):
                 end[i], n[i] = end[k], n[k] + 1
         m = min(int(after[0]) + 1, len(own))
-        return pa.table({"block": pa.array([key[0].as_py()] * m, pa.int32()), "entry": own[:m], "finish": end[:m], "n": n[:m]})
-
-    found = dealt.groupBy("block").applyInArrow(entries, "block int, entry long, finish long, n long").collect()  # at most size + 2 rows a block
-    by_block: dict[int, list] = {}
-    for r in sorted(found):
-        by_block.setdefault(r["block"], []).append(r)
-    low, number, first = None, 0, {}
-    for block in sorted(by_block):
-        entry = next((r for r in by_block[block] if low is None or r["entry"] > low), None)
-        if entry:
-            first[block] = (entry["entry"], number)
-            low, number = entry["finish"], number + entry["n"]
-    held = spark.sparkContext.broadcast(first)
-
-    def ranges(key: tuple, rows: pa.Table) -> pa.Table:
-        out, block = [], key[0].as_py()
-        if block in held.value:
-            entry, number = held.value[block]
+        return pa.table({"block": pa.array([key[0].as_py()] * m, pa.int64()), "top": pa.array([int(own[-1])] * m, pa.int64()), "entry": own[:m], "finish": end[:m], "n": n[:m]})
+
+    def parted(rows: pa.Table) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray, np.ndarray]], int]:
+        """The blocks of a group in order, their entries, and the greatest id."""
+        block, entry, finish, n = (rows[c].to_numpy() for c in ("block", "entry", "finish", "n"))
+        order = np.lexsort((entry, block))
+        edges = np.append(np.flatnonzero(np.append(True, np.diff(block[order]) != 0)), len(order))
+        parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return [int(block[p[0]]) for p in parts], [(entry[p], finish[p], n[p]) for p in parts], int(rows["top"].to_numpy().max())
+
+    def joined(key: tuple, rows: pa.Table) -> pa.Table:
+        """A group of blocks as one block: entries within a width of its least id and the next one."""
+        _, parts, top = parted(rows)
+        every = np.unique(np.concatenate([e for e, _, _ in parts]))
+        every = every[: int(np.searchsorted(every, every[0] + size, "right")) + 1]
+        ends = [_follow(parts, int(e) - 1)[-1] for e in every]
+        m = len(every)
+        return pa.table({"block": pa.array([key[0].as_py()] * m, pa.int64()), "top": pa.array([top] * m, pa.int64()), "entry": every, "finish": pa.array([f for f, _ in ends], pa.int64()), "n": pa.array([n for _, n in ends], pa.int64())})
+
+    def told(key: tuple, rows: pa.Table, above: pa.Table) -> pa.Table:
+        """Where the blocks of a group start."""
+        if not len(rows) or not len(above):
+            return pa.table({c: pa.array([], pa.int64()) for c in ("block", "entry", "number")})
+        names, parts, _ = parted(rows)
+        entry, number = above["entry"][0].as_py(), above["number"][0].as_py()
+        found = [(b, x[0], number + x[1]) for b, x in zip(names, _follow(parts, entry - 1), strict=False) if x]
+        return pa.table({c: pa.array([f[i] for f in found], pa.int64()) for i, c in enumerate(("block", "entry", "number"))})
+
+    def ranges(key: tuple, rows: pa.Table, above: pa.Table) -> pa.Table:
+        out = []
+        if len(rows) and len(above):
+            number = above["number"][0].as_py()
             own, after = starts(rows["id"].to_numpy())
-            i = int(np.searchsorted(own, entry))
+            i = int(np.searchsorted(own, above["entry"][0].as_py()))
             while i < len(own):
                 out.append((number + len(out), int(own[i]), int(own[i]) + size))
                 i = int(after[i])
         return pa.table({c: pa.array([r[k] for r in out], pa.int64()) for k, c in enumerate(("batch", "first_id", "last_id"))})
 
-    return dealt.groupBy("block").applyInArrow(ranges, "batch long, first_id long, last_id long")
+    named = dealt.select(F.col("_block").cast("long").alias("block"), "id")
+    levels = [named.groupBy("block").applyInArrow(entries, ENTRIES)]
+    count = (named.agg(F.max("block")).first()[0] or 0) + 1
+    group = F.call_function("div", F.col("block"), F.lit(fan)).alias("group")
+    while count > 1:
+        levels.append(levels[-1].groupBy(group).applyInArrow(joined, ENTRIES))
+        count = -(-count // fan)
+    first = levels[-1].groupBy("block").agg(F.min("entry").alias("entry")).select("block", "entry", F.lit(0).cast("long").alias("number"))
+    for level in levels[-2::-1]:
+        up = first.withColumnRenamed("block", "group")
+        first = level.groupBy(group).cogroup(up.groupBy("group")).applyInArrow(told, "block long, entry long, number long")
+    return named.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ranges, "batch long, first_id long, last_id long")

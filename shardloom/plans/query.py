@@ -18,6 +18,7 @@ from shardloom import context
 from shardloom.catalog import Catalog, ShardRow
 from shardloom.functions import ids
 from shardloom.operators.batches import greedy_ranges, numbered_batches
+from shardloom.operators.ordered import placed
 from shardloom.plans.predicate import Condition, Semi, Sql, compare
 from shardloom.registry import SHARD, Model, id_columns, key_vertical
 
@@ -259,6 +260,16 @@ class ShardedQuery:
             df = df.limit(self.rows_limit)
         return df.select(*names)
 
+    def placed(self, *columns: str, name: str = "place", by_model: bool = True) -> DataFrame:
+        """The query's rows, as ``read`` has them, with their place in its order; the order's columns have to be among them."""
+        terms = [F.col(c) if isinstance(c, str) else c for c, _ in self.orders]
+        terms = [t.desc_nulls_last() if d else t.asc_nulls_last() for t, (_, d) in zip(terms, self.orders, strict=True)]
+        if not terms:
+            raise ValueError("a place needs an order")
+        if self.rows_limit is None and not self.rows_offset:  # the order is in the places
+            return placed(replace(self, orders=()).read(*columns, by_model=by_model), *terms, name=name)
+        return placed(self.read(*columns, by_model=by_model), *terms, name=name)
+
     def _order_terms(self, stored: bool = False) -> list[Column]:
         """The order as columns of the stored rows: as read, or as they are stored."""
         keys = [(c if isinstance(c, Column) else F.col(c) if stored else self.as_of(c, True), d) for c, d in self.orders]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from shardloom.context import activate
 from shardloom.operators import associations
@@ -38,10 +37,9 @@ def pluck_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).distinct().read("customer_id")
 
 
-@query(f"SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT {rel('o_orderkey', 1)} AS id FROM orders WHERE o_totalprice > 400000 ORDER BY 1 LIMIT 500)")
+@query(f"SELECT id, row_number() OVER (ORDER BY id) AS place FROM (SELECT {rel('o_orderkey', 1)} AS id FROM orders)")
 def pluck_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = orders(spark, sf_dir).where("totalprice > 400000").order("id").limit(500).read("id")
-    return top.withColumn("place", F.row_number().over(W.orderBy("id")))
+    return orders(spark, sf_dir).order("id").placed("id")
 
 
 @query(f"SELECT {rel('c_custkey', 1)} AS id FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -188,27 +186,25 @@ def group_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.orderBy(F.desc("n"), "customer_id").limit(10)
 
 
-RANKED = "SELECT id, name, row_number() OVER (ORDER BY {0}) AS place FROM (SELECT {1} AS id, c_name AS name, c_acctbal AS acctbal, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS seg FROM customer) ORDER BY {0} LIMIT 200"
+RANKED = "SELECT id, name, row_number() OVER (ORDER BY {0}) AS place FROM (SELECT {1} AS id, c_name AS name, c_acctbal AS acctbal, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS seg FROM customer)"
 
 
 @query(RANKED.format("name, id", rel("c_custkey", 1)))
 def order_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = on(spark, sf_dir, "customer").all_shards().order("name", "id").limit(200).read("id", "name")
-    return top.withColumn("place", F.row_number().over(W.orderBy("name", "id")))
+    return on(spark, sf_dir, "customer").all_shards().order("name", "id").placed("id", "name")
 
 
 @query(RANKED.format("acctbal DESC NULLS LAST, id", rel("c_custkey", 1)))
 def order_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = on(spark, sf_dir, "customer").all_shards().order("acctbal", descending=True).order("id").limit(200).read("id", "name", "acctbal")
-    return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("acctbal"), "id"))).drop("acctbal")
+    q = on(spark, sf_dir, "customer").all_shards().order("acctbal", descending=True).order("id")
+    return q.placed("id", "name", "acctbal").drop("acctbal")
 
 
-@query(RANKED.format("seg DESC NULLS LAST, id", rel("c_custkey", 1)).replace("LIMIT 200", "OFFSET 1200 LIMIT 200"))
+@query(RANKED.format("seg DESC NULLS LAST, id", rel("c_custkey", 1)))
 def order_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nulls come last in descending order too; the rows around where they start."""
+    """Nulls come last in descending order too."""
     q = on(spark, sf_dir, "customer").all_shards().order("mktsegment_or_null", descending=True).order("id")
-    rows = q.offset(1200).limit(200).read("id", "name", "mktsegment_or_null")
-    return rows.withColumn("place", 1200 + F.row_number().over(W.orderBy(F.col("mktsegment_or_null").desc_nulls_last(), "id"))).drop("mktsegment_or_null")
+    return q.placed("id", "name", "mktsegment_or_null").drop("mktsegment_or_null")
 
 
 @query(f"SELECT {rel('o_orderkey', 1)} AS id FROM orders WHERE {sh('o_orderkey')} IN (3, 4) ORDER BY {sh('o_orderkey')}, o_orderkey LIMIT 25")
@@ -256,11 +252,11 @@ def distinct_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).distinct().count(column="customer_id")
 
 
-@query("SELECT CAST(sum(DISTINCT l_quantity) AS DOUBLE) AS sum, round(avg(DISTINCT l_quantity), 6) AS average FROM lineitem")
+@query("SELECT 'sum' AS what, CAST(sum(DISTINCT l_quantity) AS DOUBLE) AS value FROM lineitem UNION ALL SELECT 'average', round(avg(DISTINCT l_quantity), 6) FROM lineitem")
 def distinct_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = on(spark, sf_dir, "lineitem").all_shards().distinct()
-    both = q.sum("quantity").crossJoin(q.average("quantity"))  # a row each
-    return both.select(F.col("sum").cast("double").alias("sum"), F.round("average", 6).alias("average"))
+    total = q.sum("quantity").select(F.lit("sum").alias("what"), F.col("sum").cast("double").alias("value"))
+    return total.unionByName(q.average("quantity").select(F.lit("average").alias("what"), F.round("average", 6).alias("value")))
 
 
 @query(f"SELECT {C1} AS customer_id, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, 1 LIMIT 12 OFFSET 3")

@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from shardloom.catalog import Catalog, Server, ShardRow
 from shardloom.context import activate
 from shardloom.functions.ids import IDS
 from shardloom.operators import records
@@ -108,13 +111,111 @@ def test_not_in_with_nulls(spark):
     a = spark.createDataFrame([(1, 1), (1, 2), (1, None), (2, 5), (3, 9)], f"{SHARD} int, v long")
     b = spark.createDataFrame([(1, 1), (2, None), (2, 7)], f"{SHARD} int, w long")
     qa, qb = (ShardedQuery.of(NATION.__class__("t", pk=None), f, P.CATALOG).shard(1, 2, 3) for f in (a, b))
-    left = qa.in_query("v", qb, "w", negated=True).rows()
-    assert sorted(map(tuple, left.collect())) == [(1, 2), (3, 9)]
+    outside = qa.in_query("v", qb, "w", negated=True)
+    assert sorted(map(tuple, outside.rows().collect())) == [(1, 2), (3, 9)]
+    # the same as a part of an OR, of a NOT, and in changes
+    assert sorted(map(tuple, outside.either(qa.where("v = 5")).rows().collect())) == [(1, 2), (2, 5), (3, 9)]
+    assert sorted(map(tuple, (~qa.in_query("v", qb, "w")).rows().collect())) == [(1, 2), (3, 9)]
+    assert sorted(map(tuple, (~outside).rows().collect())) == [(1, 1)]
+    assert outside.deleted().count() == 3 and outside.touched().first()[0] == 2
+
+
+def test_attributes_of_key_columns(spark, sf_dir):
+    for name in ("global_totalprice", "short_id", "id_global", "_x"):
+        with pytest.raises(AttributeError, match="key columns"):
+            getattr(ORDERS, name)
+    r = P.orders(spark, sf_dir).where("id = 6").select(ORDERS.global_id, ORDERS.local_customer_id, ORDERS.original_customer_id, "customer_id").first()
+    assert r[0] == key(5) and r[1] == r[3] % IDS and r[2] == r[3]
+
+
+def test_changes_with_limits(stored):
+    q = query(stored).shard(1, 2)
+    three = q.order("id").limit(3)
+    assert three.touched().first()[0] == 3 and three.deleted().count() == stored.count() - 3
+    assert three.updated(status="X").where("status = 'X'").count() == 3
+    for change in (q.limit(3).deleted, lambda: q.offset(2).updated(status="X")):
+        with pytest.raises(ValueError, match="order"):
+            change()
+    gone = {(r[SHARD], r["id"]) for r in stored.collect()} - {(r[SHARD], r["id"]) for r in three.deleted().collect()}
+    assert sorted(i if s == 1 else i + s * IDS for s, i in gone) == [r["id"] for r in three.read("id").collect()]
+
+
+def test_or_of_queries(stored):
+    q = query(stored).all_shards()
+    a, b = q.where("id < 5"), q.where("id > 9 and id < 12")
+    assert a.either(b).count().first()[0] == a.count().first()[0] + b.count().first()[0]
+    assert a.either(q).count().first()[0] == stored.count()
+    nothing = q.shard(1).merge(q.shard(2))
+    assert a.either(nothing).count().first()[0] == a.count().first()[0] and nothing.either(b).conditions == b.conditions
+    with pytest.raises(ValueError, match="limit"):
+        a.limit(1).either(b)
+
+
+def test_merge_takes_over_offset_and_distinct(stored):
+    q = query(stored)
+    assert q.merge(q.order("id").offset(2).distinct()).rows_offset == 2 and q.merge(q.distinct()).unique
+
+
+def test_limits_in_sub_queries_need_an_order(spark):
+    a = spark.createDataFrame([(1, 1)], f"{SHARD} int, v long")
+    q = ShardedQuery.of(NATION.__class__("t", pk=None), a, P.CATALOG)
+    with pytest.raises(ValueError, match="order"):
+        q.in_query("v", q.limit(1), "v").rows()
 
 
-def test_attribute_guard():
-    with pytest.raises(AttributeError, match="key columns"):
-        ORDERS.global_totalprice  # noqa: B018
+def test_aggregates_are_of_the_rows_as_read(stored):
+    q = query(stored).all_shards()
+    three = q.order("id").limit(3)
+    assert three.aggregate(F.max("id")).first()[0] == three.read("id").collect()[-1][0]
+    assert q.distinct().count(column="customer_id").first()[0] == q.distinct().read("customer_id").count()
+    assert q.limit(5).group("customer_id").aggregate(F.count("*").alias("n")).count() == 5
+    with pytest.raises(ValueError, match="distinct"):
+        q.distinct().group("customer_id").aggregate(F.count("*"))
+
+
+def test_find_many(stored):
+    q = query(stored)
+    assert [r["place"] for r in q.find_many([key(4), key(2)]).orderBy("id").collect()] == [0, 1]
+    with pytest.raises(RecordNotFound, match="no id.*10001000000001"):
+        q.find_many(["no id", key(4), key(10**9)])
+    assert q.find_many(["no id", key(4)], strict=False).count() == 1
+
+
+def test_conditions_over_many_shards(spark, stored):
+    """Keys of many shards are compared once, as global ids, and the scan still gets values."""
+    shards = tuple(ShardRow(i, f"s{i}") for i in range(2, 60))
+    catalog = Catalog((ShardRow(1, default=True), *shards), (Server("main", default=True),))
+    rows = [(s, i, (s % 59 + 1) * IDS + i + 1 if i % 2 else i) for s in range(1, 60) for i in range(1, 5)]
+    frame = spark.createDataFrame(rows, f"{SHARD} int, id long, customer_id long")
+    q = ShardedQuery.of(ORDERS, frame, catalog).all_shards()
+    keys = [s * IDS + 2 for s in range(1, 60)]
+    want = sorted((s, i, c) for s, i, c in rows if (c if c >= IDS else s * IDS + c) in set(keys))
+    for here in (q, q.shard(3, 5, 9)):
+        own = [r for r in want if r[0] in here.shards]
+        assert sorted(map(tuple, here.where(customer_id=keys).rows().collect())) == own
+        assert here.compare("customer_id", "not in", keys).rows().count() == 4 * len(here.shards) - len(own)
+        assert here.where(id=keys).rows().count() == len(here.shards)
+    found = plan(query(stored).all_shards().where(customer_id=[key(1)]).rows())
+    assert "In(customer_id" in found or "EqualTo(customer_id" in found
+    assert len(str(q.where(customer_id=keys).rows()._jdf.queryExecution().analyzed().toString())) < 20_000
+
+
+def test_late_shard_and_batches(stored):
+    q = query(stored)
+    late = q.where("id < 100").unscoped()
+    with activate(3):
+        assert late.rows().count() == stored.where(F.col(SHARD) == 3).count() and late.read("id").count() > 0
+        assert {r[SHARD] for r in late.rows().select(SHARD).distinct().collect()} == {3}
+    small = q.where("id < 200")
+    parts = [[r["id"] for r in b.order("id").read("id").collect()] for b in small.find_in_batches(20)]
+    assert all(len(p) == 20 for p in parts[:-1])
+    assert [i for p in parts for i in p] == [r["id"] for r in small.order("id").read("id").collect()]
+
+
+def test_errors_know_the_active_shards(stored):
+    with activate(3), pytest.raises(RecordNotFound) as e:
+        query(stored).one(key(10**9))
+    assert e.value.shards["base"] == 3
 
 
 def test_raw_values_stay(spark, sf_dir):
@@ -165,6 +266,41 @@ def test_shard_errors_are_named(spark):
     with pytest.raises(records.ShardErrors, match="shard 2: RuntimeError: no"):
         records.raise_errors(found)
     assert records.raise_errors(found.where("shard <> 2")).count() == 2
+    assert records.raise_errors(found, "ignore").count() == 2
+    with pytest.raises(records.ShardErrors, match="shard 2"):
+        records.raise_errors(found, "defer")
+    told = []
+    assert records.raise_errors(found, lambda s, e: told.append((s, e))).count() == 2 and told == [(2, "RuntimeError: no")]
+    large = spark.range(1000).select(F.lit(1).alias(SHARD), F.lit(5).alias("v"))
+    sizes = [r["n"] for r in records.map_shards(large, odd, "n long", block_rows=100).collect()]
+    assert sum(sizes) == 1000 and len(sizes) > 5
+
+
+def test_a_task_on_each_shard():
+    seen = []
+
+    def task(shard):
+        seen.append(shard)
+        if shard == 3:
+            raise RuntimeError("no")
+
+    events = records.shard_task(P.CATALOG, task, fail_fast=False)
+    assert seen == [1, 2, 3, 4]
+    assert [(e["shard"], e["type"]) for e in events if e["type"] != "started"] == [(1, "completed"), (2, "completed"), (3, "failed"), (4, "completed")]
+    with pytest.raises(records.ShardErrors, match="shard 3"):
+        records.shard_task(P.CATALOG, task)
+
+
+def test_upsert_of_a_stored_table(spark, stored, tmp_path):
+    path = str(tmp_path / "u")
+    store.write(stored, path)
+    untouched = sorted(p.name for p in (tmp_path / "u" / f"{SHARD}=3").iterdir())
+    rows = spark.createDataFrame([(2, 2, "X"), (2, 10**9, "N")], f"{SHARD} int, id long, status string")
+    store.upsert(spark, path, rows, [SHARD, "id"])
+    now = store.read(spark, path)
+    assert now.count() == stored.count() + 1 and now.where("status = 'X' and totalprice is not null").count() == 1
+    assert sorted(p.name for p in (tmp_path / "u" / f"{SHARD}=3").iterdir()) == untouched
+    assert records.insert(stored, rows, [SHARD, "id"]).count() == stored.count() + 1
 
 
 def test_id_batches(spark):
@@ -173,9 +309,19 @@ def test_id_batches(spark):
     df = spark.createDataFrame([(x,) for x in (1, 2, 3, 10, 11, 12, 13, 30, 31, 100)], "id long")
     got = [tuple(r) for r in numbered_batches(df, 4, block_rows=3).orderBy("batch").collect()]
     assert got == [(0, 1, 10), (1, 11, 30), (2, 31, 100)]
-    for block_rows in (1, 3, 100):
-        got = [tuple(r) for r in greedy_ranges(df, 5, block_rows).orderBy("batch").collect()]
+    for block_rows, fan in ((1, 2), (1, 3), (3, 2), (100, 2)):
+        got = [tuple(r) for r in greedy_ranges(df, 5, block_rows, fan).orderBy("batch").collect()]
         assert got == [(0, 1, 6), (1, 10, 15), (2, 30, 35), (3, 100, 105)]
+    rng = random.Random(1)
+    ids = sorted({rng.randrange(3000) for _ in range(400)} | set(range(5000, 5200)))
+    want, low = [], -1
+    for x in ids:
+        if x > low:
+            low = x + 40
+            want.append((len(want), x, low))
+    many = spark.createDataFrame([(x,) for x in ids], "id long")
+    for block_rows, fan in ((7, 2), (30, 4), (3, 16)):
+        assert [tuple(r) for r in greedy_ranges(many, 40, block_rows, fan).orderBy("batch").collect()] == want
     names = spark.createDataFrame([(x,) for x in "cabed"], "id string")
     assert [tuple(r) for r in numbered_batches(names, 2, block_rows=2).orderBy("batch").collect()] == [(0, "a", "b"), (1, "c", "d"), (2, "e", "e")]
     none = df.where("id < 0")
