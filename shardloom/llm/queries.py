@@ -110,16 +110,26 @@ sized AS (
     CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda k: CAST('0x' || substr(h, 2 * k + 1, 2) AS BIGINT))),
       lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS BIGINT) AS text_crc32
   FROM docs, table256),
-drawn AS (
-  SELECT *, list_transform(range(25), lambda s: -ln((CAST(CAST('0x' || substr(md5(key || ':' || s), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)) AS e,
+darts AS (
+  SELECT *, list_transform(range(4), lambda r: md5(key || ':g' || r || ':0')) AS h, md5(key || ':g3:1') AS again, md5(key || ':g3:late:24') AS late,
     CAST('0x' || substr(md5(key || '/' || size), 1, 3) AS INT) % 4096 AS block
   FROM sized),
+timed AS (
+  SELECT *, list_transform(list_concat(h, [again, late]), lambda x: -ln((CAST(CAST('0x' || substr(x, 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)) AS e,
+    list_transform(list_concat(h, [again]), lambda x: CAST('0x' || substr(x, 14, 4) AS BIGINT) * 2 // 65536 * 4 + CAST('0x' || substr(x, 18, 4) AS BIGINT) * 4 // 65536) AS spot
+  FROM darts),
 placed AS (
-  SELECT *, CAST(list_position(e[1:24], list_min(e[1:24])) - 1 AS INT) AS shard, CAST(list_position(e, list_min(e)) - 1 AS INT) AS grown_shard FROM drawn)
+  SELECT *, list_position(e[1:3], list_min(e[1:3])) AS region,
+    CASE WHEN spot[4] = 0 THEN e[4] / 8 WHEN spot[5] = 0 THEN e[4] / 8 + e[5] / 8 ELSE e[4] / 8 + e[5] / 8 + e[6] END AS new_time
+  FROM timed),
+sharded AS (
+  SELECT *, CAST((region - 1) * 8 + spot[region] AS INT) AS shard FROM placed),
+grown AS (
+  SELECT *, CASE WHEN new_time < e[region] / 8 THEN 24 ELSE shard END AS grown_shard FROM sharded)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard,
   row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard,
   'g' || (shard // 8) AS region, 'k' || (shard // 4) AS rack
-FROM placed""",
+FROM grown""",
     "op5_cover_anchors": """
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words WHERE len(w) >= 35),

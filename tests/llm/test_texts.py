@@ -212,6 +212,29 @@ def test_sharding(spark, odd_docs, no_docs):
     assert {heavier[k] for k in before if heavier[k] != before[k]} == {2}
     share = Counter(heavier.values())
     assert abs(share[2] / 4000 - 3 / 12) < 0.03 and abs(share[7] / 4000 - 1 / 12) < 0.02
+    # growth at every count, weights up and down, shards that leave, and trees of unlike shape
+    counts = {n: placed(hashtree.uniform_tree(n)) for n in (8, 9, 12, 13, 24, 25, 26)}
+    for n in (8, 12, 24, 25):
+        assert {counts[n + 1][k] for k in counts[n] if counts[n + 1][k] != counts[n][k]} == {n}
+        own = Counter(counts[n + 1].values())
+        assert len(own) == n + 1 and all(abs(c / 4000 - 1 / (n + 1)) < 0.03 for c in own.values())
+    rack = hashtree.uniform_tree(24)
+    rack["g1"]["k2"] = {s: 0.5 for s in rack["g1"]["k2"]}
+    lighter = placed(rack)
+    moved = {k: (counts[24][k], lighter[k]) for k in lighter if lighter[k] != counts[24][k]}
+    assert moved and all(8 <= a < 12 for a, _ in moved.values())
+    assert abs(sum(8 <= s < 12 for s in lighter.values()) / 4000 - 2 / 22) < 0.02
+    gone = hashtree.uniform_tree(24)
+    gone["g0"]["k1"][5] = 0.0
+    left = placed(gone)
+    assert {counts[24][k] for k in left if left[k] != counts[24][k]} == {5} and 5 not in left.values()
+    for shape in ({"a": {"x": {i: 1.0 for i in range(6)}}}, {f"r{i}": {"x": {i: 1.0}} for i in range(6)}, {"a": {"x": {0: 1.0, 1: 1.0}, "y": {2: 1.0}, "z": {3: 1.0}}, "b": {"w": {4: 1.0, 5: 1.0}}}):
+        one = placed(shape)
+        assert all(abs(c / 4000 - 1 / 6) < 0.03 for c in Counter(one.values()).values())
+        rack = list(list(shape.values())[-1].values())[-1]
+        rack[6] = 1.0
+        more = placed(shape)
+        assert {more[k] for k in one if more[k] != one[k]} == {6}
     rows = hashtree.assign(odd_docs, hashtree.uniform_tree(3), hashtree.uniform_tree(4)).collect()
     texts = [r["text"] for r in odd_docs.collect()]
     assert sorted((r["size"], r["text_crc32"]) for r in rows) == sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for t in texts)
