@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 from weakref import WeakKeyDictionary
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,30 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, list(_written))
 
 
+BITS = 16
+MOST_BITS = 1 << 30
+
+
+def bit_map(hashes: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Which hashes ``h``, modulo the number of bits, the rows have: BITS bits for each or more, up to ``most_bits`` (128 MB) in all.
+
+    What passes has to be joined in any case, so a map that is too full costs rows but changes nothing.
+    """
+    bits = min(most_bits, max(1 << 10, 1 << (BITS * hashes.count()).bit_length()))
+    word, bit = f"(h & {bits - 1}L)", "63"
+    words = hashes.groupBy(F.expr(f"shiftright({word}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({word} & {bit} as int))")).alias("x"))
+    out = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["w"]] = r["x"]
+    return out.view(np.uint8)
+
+
+def in_map(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned) may be among those of the map."""
+    spot = h & np.uint64(8 * len(bits) - 1)
+    return (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """UTF-8 bytes of all texts, from one narrow scan."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

@@ -11,10 +11,16 @@ texts share a coordinate with the probability of their weighted Jaccard similari
 1. Texts that are equal count once. Their signatures are cut into bands; texts with an equal band share a bucket.
 2. Each bucket has a centre, one of its texts by a hash, and every other text of the bucket is compared with it, exactly.
 3. Pairs of at least the similarity are links, and their connected components are classes.
-4. Other pairs of a bucket are compared if they can still change a class: their classes differ, and what
-   each of the two has that the other cannot have does not rule the link out.
+4. Texts of a bucket that has several classes are compared once more, exactly if need be. Two texts of the similarity have one
+   in common of the rarest shingles of each, as many as may be missing in the other and one more, so texts are joined on these; and pairs of one
+   class, or of which what one has and the other lacks rules the link out, are not compared.
 
-So a bucket of n copies costs n comparisons, while no link between texts that share a bucket is lost.
+So a bucket of n copies costs n comparisons, while no link between texts that share a bucket is lost. Step 4 costs for each of a text's rarest
+shingles as many rows as other texts have it among their rarest, without the most frequent class: for texts that share a frame and differ in
+their own parts about the texts that share such a part. The worst are texts of which all rarest shingles are the same, are in different
+classes, and are all below the similarity to each other; then it is the square of their number.
+
+Texts are chosen by a bit map of the keys that are wanted before they are shuffled.
 
 Defined cases: a text of one to four words is one shingle; null texts and texts without words are
 equal to each other and to no other text; equal rows are in one class; the class id is the least doc_id of its rows (null if
@@ -30,10 +36,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shardloom.llm import textops as T
-from shardloom.llm.common import fresh, stored
+from shardloom.llm.common import bit_map, fresh, in_map, stored
 from shardloom.llm.components import components
 
 WORDS = 5
@@ -178,6 +185,19 @@ def compared(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a binary, b binary, similarity double")
 
 
+def _chosen(own: DataFrame, wanted: DataFrame) -> DataFrame:
+    """key, t of texts whose keys may be wanted."""
+    h = F.xxhash64("key").alias("h")
+    held = own.sparkSession.sparkContext.broadcast(bit_map(wanted.select(h)))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = in_map(held.value, b["h"].to_numpy().view(np.uint64))
+            yield b.select(["key", "t"]).filter(pa.array(near))
+
+    return own.select("key", "t", h).mapInArrow(choose, "key binary, t string")
+
+
 def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
     """key, label: each text that is linked to another, and the key of its class."""
     signed = stored(banded(docs, text, bands, rows, words), "bands")
@@ -186,10 +206,11 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY,
     buckets = stored(places.groupBy("bucket").agg(F.count("*").alias("n"), centre).where("n > 1").select("bucket", "centre"), "buckets")
     members = stored(places.join(buckets, "bucket").where("key <> centre").select("bucket", "centre", "key"), "members")
     pairs = stored(members.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
     own = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).where(has_words("t"))
     # texts are reduced to one of each key before the join, and the join is the same at any size
-    texts = stored(own.groupBy("key").agg(F.first("t").alias("t")).join(wanted.hint("merge"), "key", "left_semi"), "texts")
+    near = _chosen(own, wanted)
+    texts = stored(near.groupBy("key").agg(F.first("t").alias("t")).join(wanted.hint("merge"), "key", "left_semi"), "texts")
     links = stored(compared(pairs, texts, words).where(F.col("similarity") >= similarity).select("a", "b"), "links")
     found = components(links)
     rest = stored(_open_pairs(members, texts, found, similarity, words), "pairs")
@@ -209,11 +230,11 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return stored(moved.unionByName(top).distinct(), "classes")
 
 
-SKETCH = "cls int, bits array<long>, half array<long>"
+SKETCH = "cls int, weight long, bits array<long>, half array<long>"
 
 
 def _sketches(texts: DataFrame, words: int) -> DataFrame:
-    """key, cls, bits, half: which of 2**cls slots, about BITS for each unit of a text's weight, its units hash to; half: of the slots' half."""
+    """key, cls, weight, bits, half: which of 2**cls slots, about BITS for each unit of a text's weight, its units hash to; half: of the slots' half."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,23 +251,29 @@ def _sketches(texts: DataFrame, words: int) -> DataFrame:
                     longs = np.zeros(int(at[-1]), np.uint64)
                     np.bitwise_or.at(longs, at[doc] + (slot >> 6), np.left_shift(np.uint64(1), (slot & 63).astype(np.uint64)))
                     columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(longs.view(np.int64))))
-                yield pa.RecordBatch.from_arrays([b["key"].slice(s.row, s.n), pa.array(cls.astype(np.int32)), *columns], names=["key", "cls", "bits", "half"])
+                yield pa.RecordBatch.from_arrays([b["key"].slice(s.row, s.n), pa.array(cls.astype(np.int32)), pa.array(weight.astype(np.int64)), *columns], names=["key", "cls", "weight", "bits", "half"])
 
     return texts.mapInArrow(sketch, f"key binary, {SKETCH}")
 
 
-def _own_weights(texts: DataFrame, words: int) -> DataFrame:
-    """key, weight, alone: the weight of each text, and how much of it no other of the texts has."""
+def _rarest(texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """key, unit, weight of the units that another text may share if it is similar enough: of each text the rarest, one more than may be missing
+    in the other. Those that no other text has come first, and are left out."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in T.slices(b["t"]):
                 keys, doc = shingles(s, words)
-                yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(doc + s.row)), pa.array(_units(keys, doc).view(np.int64))], names=["key", "unit"])
+                weight = np.bincount(doc, minlength=s.n)
+                yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(doc + s.row)), pa.array(_units(keys, doc).view(np.int64)), pa.array(weight[doc].astype(np.int64))], names=["key", "unit", "weight"])
 
-    units = texts.mapInArrow(cut, "key binary, unit long")
-    once = units.groupBy("unit").agg(F.count("*").alias("n"), F.min("key").alias("key")).where("n = 1").groupBy("key").agg(F.count("*").alias("alone"))
-    return units.groupBy("key").agg(F.count("*").alias("weight")).join(once, "key", "left").select("key", "weight", F.coalesce("alone", F.lit(0)).alias("alone"))
+    units = stored(texts.mapInArrow(cut, "key binary, unit long, weight long"), "units")
+    several = stored(units.groupBy("unit").agg(F.count("*").alias("n")).where("n > 1"), "unit-counts")
+    shared = units.join(several, "unit")
+    own = W.partitionBy("key")
+    placed = shared.withColumn("many", F.count("*").over(own)).withColumn("place", F.row_number().over(own.orderBy("n", "unit")))
+    may_miss = F.floor((1 - similarity) * F.col("weight") + 1e-9)
+    return placed.where(F.col("weight") - F.col("many") + F.col("place") <= may_miss + 1).select("key", "unit", "weight")
 
 
 def _without(a: Column, b: Column) -> Column:
@@ -255,36 +282,40 @@ def _without(a: Column, b: Column) -> Column:
 
 
 def _open_pairs(members: DataFrame, texts: DataFrame, found: DataFrame, similarity: float, words: int) -> DataFrame:
-    """a, b: pairs of a bucket besides the centre's whose link could still join two classes.
+    """a, b: pairs besides those with a bucket's centre whose link could still join two classes.
 
-    What a text has alone it shares with none, and what one's sketch has and the other's lacks isn't shared either. So two texts of
-    weights x and y share at most the least of what is left, s, and their similarity is at most s / (x + y - s), or s / x. A text that
-    has too much alone is left out before the join; only texts outside a bucket's most frequent class look for partners; and the
-    join gives only pairs that both bounds leave open.
+    What one text's sketch has and the other's lacks isn't shared. So two texts of weights x and y share at most the least of what is left, s, and
+    their similarity is at most s / (x + y - s). Texts of buckets with one class are left out; in the join only texts outside a
+    unit's most frequent class look for partners; and pairs that the bound rules out are dropped.
     """
-    placed = stored(members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")), "placed")
+    labelled = members.join(found.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label"))
+    placed = stored(labelled, "placed")
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
-    some = stored(placed.join(mixed, "bucket", "left_semi"), "open")
+    some = stored(placed.join(mixed, "bucket", "left_semi").select("key", "label").distinct(), "open")
     if some.isEmpty():
         return some.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    own = stored(texts.join(some.select("key").distinct(), "key", "left_semi"), "open-texts")
-    shared = F.col("weight") - F.col("alone")
-    able = stored(some.join(_own_weights(own, words).where(shared >= similarity * F.col("weight")), "key").select("bucket", "key", "label", "weight", shared.alias("shared")), "able")
-    counts = able.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    major = stored(counts.groupBy("bucket").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("major")).where("classes > 1").select("bucket", "major"), "major")
-    left = able.join(major, "bucket")
-    sketched = stored(left.join(_sketches(own, words), "key"), "sketched")
-    x, y = sketched.where("label <> major").alias("x"), sketched.alias("y")
-    p = F.when(F.col("x.cls") > F.col("y.cls"), F.col("x.half")).otherwise(F.col("x.bits"))
-    q = F.when(F.col("x.cls") < F.col("y.cls"), F.col("y.half")).otherwise(F.col("y.bits"))
-    weights = F.col("x.weight") + F.col("y.weight")
+    own = stored(texts.join(some.select("key"), "key", "left_semi"), "open-texts")
+    rarest = stored(_rarest(own, similarity, words).join(some, "key"), "rarest")
+    counts = rarest.groupBy("unit", "label").agg(F.count("*").alias("n"))
+    major = counts.groupBy("unit").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("major")).where("classes > 1").select("unit", "major")
+    left = stored(rarest.join(major, "unit"), "rarest")
+    x, y = left.where("label <> major").alias("x"), left.alias("y")
+    alike = (F.col("x.label") != F.col("y.label")) & (F.col("x.weight") >= similarity * F.col("y.weight")) & (F.col("y.weight") >= similarity * F.col("x.weight"))
+    near = x.join(y, (F.col("x.unit") == F.col("y.unit")) & alike).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
+    sketches = stored(_sketches(own, words), "sketches")
+    sa, sb = (sketches.select(F.col("key").alias(c), F.struct("cls", "weight", "bits", "half").alias(f"s{c}")) for c in "ab")
+    return near.join(sa, "a").join(sb, "b").where(_possible(F.col("sa"), F.col("sb"), similarity)).select("a", "b")
+
+
+def _possible(x: Column, y: Column, similarity: float) -> Column:
+    """May two sketched texts reach the similarity."""
+    p = F.when(x["cls"] > y["cls"], x["half"]).otherwise(x["bits"])
+    q = F.when(x["cls"] < y["cls"], y["half"]).otherwise(y["bits"])
 
     def enough(s: Column) -> Column:
-        return s >= similarity * (weights - s)
+        return s >= similarity * (x["weight"] + y["weight"] - s)
 
-    possible = (F.col("x.label") != F.col("y.label")) & (F.abs(F.col("x.cls") - F.col("y.cls")) <= 1) & enough(F.least("x.shared", "y.shared"))
-    possible = possible & enough(F.col("x.weight") - _without(p, q)) & enough(F.col("y.weight") - _without(q, p))
-    return x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & possible).select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct()
+    return (F.abs(x["cls"] - y["cls"]) <= 1) & enough(x["weight"] - _without(p, q)) & enough(y["weight"] - _without(q, p))
 
 
 def _named(docs: DataFrame, doc_id: str, text: str, **parameters) -> DataFrame:

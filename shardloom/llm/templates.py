@@ -17,7 +17,7 @@ tokens of a window are ordinary. In the other only numbers and units are, so tha
 text all in capitals has windows too; windows of numbers and units alone are compared by their values. What the second form finds
 doesn't count where the first covers more of the item and its values are in conflict.
 
-The corpus is read once. Its windows are first looked up in a bit map of the items' hashes, of BITS bits for each up to MOST_BITS, and
+The corpus is read once. Its windows are first looked up in a bit map of the items' hashes, of 16 bits for each up to MOST_BITS, and
 those that pass are joined with the items, so a map that is too full costs rows but changes nothing. All that is gathered for one
 document and item is bounded by the item's length.
 
@@ -37,15 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.llm import textops as T
-from shardloom.llm.common import fresh, row_key, stored
+from shardloom.llm.common import MOST_BITS, bit_map, fresh, in_map, row_key, stored
 
 WINDOW = 8
 LITERALS = 4
 """Ordinary tokens that a window has at least (half of a smaller window)."""
 NEED = 13
 CONFLICTS = 0.1
-BITS = 16
-MOST_BITS = 1 << 30
 
 # Words that count as numbers, as units, and as no name although they start with a capital.
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -186,17 +184,6 @@ def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text",
     return items.select(F.col(item_id).cast("long").alias("id"), row_key(item_id, text).alias("k"), F.col(text).alias("t")).mapInArrow(cut, WINDOWS)
 
 
-def bit_map(windows: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """Which hashes, modulo the number of bits, the windows have: at least BITS bits for each, and at most ``most_bits`` in all."""
-    bits = min(most_bits, max(1 << 10, 1 << (BITS * windows.count()).bit_length()))
-    spot = F.col("h").bitwiseAND(bits - 1)
-    words = windows.groupBy(F.shiftright(spot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {bits - 1}) & 63 as int))")).alias("x"))
-    out = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
-        out[r["w"]] = r["x"]
-    return out.view(np.uint8)
-
-
 def _document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int, int]], doc_id: str, text: str) -> DataFrame:
     """The documents' windows whose hashes may be among the items'."""
     held = docs.sparkSession.sparkContext.broadcast(bits)
@@ -208,8 +195,7 @@ def _document_windows(docs: DataFrame, bits: np.ndarray, sizes: list[tuple[int,
                 forms = _forms(s)
                 for form, size in sizes:
                     at, h = forms[form].found(size)
-                    spot = h & np.uint64(8 * len(bits) - 1)
-                    near = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    near = in_map(bits, h)
                     if near.any():
                         yield forms[form].rows(at[near], h[near], size, b)
 
