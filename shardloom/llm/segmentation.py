@@ -38,7 +38,7 @@ from shardloom.llm.pieces import Lattices, Pieces, distinct
 from shardloom.llm.units import spread
 
 SAMPLES = 2
-SLICE_BYTES = 3 << 19
+SLICE_BYTES = 1 << 19
 _STEP, _UNIT, _WALK = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA3B195354A39B70D, 0x8BB84B93962EACC9))
 
 
