@@ -205,9 +205,9 @@ def classes(docs: DataFrame, text: str = "text", similarity: float = SIMILARITY,
     pairs = stored(members.select(F.col("key").alias("a"), F.col("centre").alias("b")).distinct(), "pairs")
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
     own = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).where(has_words("t"))
-    # texts are reduced to one of each key before the join, and the join is the same at any size
+    # each task sends one text of a key; a semi join would be moved before that and take all copies to one task
     near = _chosen(own, wanted)
-    texts = stored(near.groupBy("key").agg(F.first("t").alias("t")).join(wanted.hint("merge"), "key", "left_semi"), "texts")
+    texts = stored(near.groupBy("key").agg(F.first("t").alias("t")).join(wanted.hint("merge"), "key").select("key", "t"), "texts")
     links = stored(compared(pairs, texts, words).where(F.col("similarity") >= similarity).select("a", "b"), "links")
     found = components(links)
     rest = stored(_open_pairs(members, texts, found, similarity, words), "pairs")
